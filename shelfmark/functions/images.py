@@ -6,8 +6,9 @@ import struct
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as P
 
-SIZE_TYPE = "struct<width:int,height:int,pages:int>"
+SIZE_TYPE = P.StructType([P.StructField(name, P.IntegerType()) for name in ("width", "height", "pages")])
 
 
 def _gif_pages(data: bytes) -> int:

@@ -72,7 +72,7 @@ def hit_record(url: Column, raw_url: Column, content: Column, meta: Column, trim
     """A search hit as an asset record; labels come back from the joined content."""
     categories = F.split(content, ",")
     if trim:
-        categories = F.transform(categories, F.trim)
+        categories = F.transform(categories, lambda c: F.trim(c))
     digits = F.regexp_extract(F.trim(meta["size"]), r"^([+-]?\d+)", 1)
     return [
         F.coalesce(meta["id"], F.lit("")).alias("id"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -18,6 +19,10 @@ DROPPED_PUNCTUATION = r"\p{Pd}\p{Pe}\p{Pf}\p{Pi}\p{Po}\p{Ps}"
 # Connector characters that are always kept in a term.
 KEPT_CHARACTERS = ["_", "‿", "⁀", "⁔", "︳", "︴", "﹍", "﹎", "﹏", "＿"]
 
+# A character that keeps a word from vanishing in normalization. Kept characters are solid, too,
+# as long as they are no dropped punctuation, which holds for the ones above.
+SOLID = f"[^{BLANKS}{ZERO_WIDTH_SPACE}{DROPPED_PUNCTUATION}\\p{{M}}]"
+
 _HANGUL_BASE, _VOWELS, _TAILS = 0xAC00, 21, 28
 
 
@@ -56,21 +61,33 @@ def _split_hangul(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), letters), "")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fold_accents(text: Column) -> Column:
-    """``text`` decomposed and without combining marks; plain ASCII passes through untouched."""
+    """``text`` decomposed and without combining marks; plain ASCII passes through untouched.
+
+    Mentions ``text`` three times: give it a column, or a value under :func:`bind`.
+    """
     accented, plain = _accent_table()
-    folded = F.regexp_replace(F.translate(text, accented, plain), r"\p{M}+", "")
-    folded = F.when(folded.rlike("[가-힣]"), _split_hangul(folded)).otherwise(folded)
+    bare = F.regexp_replace(F.translate(text, accented, plain), r"\p{M}+", "")
+    folded = bind(bare, lambda t: F.when(t.rlike("[가-힣]"), _split_hangul(t)).otherwise(t))
     return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 
 
+def character_list(characters: list[str]) -> str:
+    """Characters by code point, for use inside a character class."""
+    return "".join("\\x{%x}" % ord(c) for c in characters)
+
+
 def strip_punctuation(text: Column, kept: list[str] | None = None) -> Column:
     """Drop dash, bracket, quote and other punctuation, except the ``kept`` characters."""
     kept = [c for c in (KEPT_CHARACTERS if kept is None else kept) if unicodedata.category(c) != "Pc"]
     if not kept:
         return F.regexp_replace(text, f"[{DROPPED_PUNCTUATION}]", "")
-    spared = "".join("\\x{%x}" % ord(c) for c in kept)
-    return F.regexp_replace(text, f"[{DROPPED_PUNCTUATION}&&[^{spared}]]", "")
+    return F.regexp_replace(text, f"[{DROPPED_PUNCTUATION}&&[^{character_list(kept)}]]", "")
 
 
 def normalize_exact(text: Column, kept: list[str] | None = None) -> Column:
@@ -82,7 +99,7 @@ def normalize_exact(text: Column, kept: list[str] | None = None) -> Column:
 
 def normalize_term(text: Column, kept: list[str] | None = None) -> Column:
     """The term as compared by default: as :func:`normalize_exact`, accents folded away."""
-    return fold_accents(normalize_exact(text, kept))
+    return bind(normalize_exact(text, kept), fold_accents)
 
 
 def split_words(text: Column) -> Column:
@@ -94,9 +111,8 @@ def split_words(text: Column) -> Column:
 
 def count_terms(text: Column) -> Column:
     """How many words of ``text`` survive normalization, in one regex pass."""
-    solid = f"{DROPPED_PUNCTUATION}\\p{{M}}"
-    blank_split = F.regexp_count(text, F.lit(f"[^{BLANKS}{solid}][^{BLANKS}]*"))
-    zero_split = F.regexp_count(text, F.lit(f"[^​{solid}{BLANKS}][^​]*"))
+    blank_split = F.regexp_count(text, F.lit(f"{SOLID}[^{BLANKS}]*"))
+    zero_split = F.regexp_count(text, F.lit(f"{SOLID}[^{ZERO_WIDTH_SPACE}]*"))
     return F.when(text.contains(ZERO_WIDTH_SPACE), zero_split).otherwise(blank_split)
 
 

@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .index import field_tokens
-from .skew import pin_small
-
-# Distinct lengths a query word may have; longer lists cannot come from real words.
-MAX_LENGTHS = 10_000
+from .skew import distinct_lengths, pin_small
 
 
 def allowed_distance(length: int) -> int:
@@ -42,12 +39,10 @@ def similar_words(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
     ``vocabulary`` has distinct tokens, ``words`` distinct query words. Pairs are found by an
     equi-join on pieces that must be equal; the distance is computed for those only.
     """
-    lengths = words.select(F.length("word").alias("n")).distinct().orderBy("n").limit(MAX_LENGTHS + 1).collect()
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError("query words of too many different lengths")
+    lengths = distinct_lengths(words, "word")
     token, word = F.col("token"), F.col("word")
     token_keys, word_keys = [], []
-    for (n,) in lengths:
+    for n in lengths:
         edits = allowed_distance(n)
         near = F.length(token).between(n - edits, n + edits)
         for number, start, size in _segments(n):

@@ -73,10 +73,14 @@ def document_terms(docs: DataFrame, kept: list[str] | None = None) -> DataFrame:
     """One row per word: doc_id, lang, position, term, term_exact. Words without substance are left out."""
     words = docs.select("doc_id", "lang", F.posexplode(T.split_words(F.col("content"))).alias("position", "word"))
     # Most words are plain lower case already and skip the regex work.
-    plain = ~F.col("word").rlike("[^a-z0-9]")
-    exact = F.when(plain, F.col("word")).otherwise(T.normalize_exact(F.col("word"), kept))
-    terms = words.select("doc_id", "lang", "position", exact.alias("term_exact"))
-    return terms.withColumn("term", T.fold_accents(F.col("term_exact"))).where("term <> ''")
+    word = F.col("word")
+    plain = ~word.rlike("[^a-z0-9]") & (word != "")
+    solid = plain | word.rlike(T.SOLID if kept is None else f"{T.SOLID}|[{T.character_list(kept)}]")
+    exact = F.when(plain, word).otherwise(T.normalize_exact(word, kept))
+    spelled = words.where(solid).select("doc_id", "lang", "position", exact.alias("term_exact"))
+    # The one-row generator keeps later filters on the term from repeating its computation.
+    folded = F.explode(F.array(T.fold_accents(F.col("term_exact")))).alias("term")
+    return spelled.select("*", folded)
 
 
 def build_postings(docs: DataFrame, kept: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .index import TextIndex
-from .skew import HOT_ROWS, any_of, pin_small, rank_in_group
+from .skew import HOT_ROWS, any_of, distinct_lengths, pin_small, rank_in_group
 
 # Distinct query words up to this number are pushed into the postings scan as a filter.
 PUSHED_WORDS = 200
@@ -79,11 +79,10 @@ def match_words(
             # before they are grouped.
             keep = any_of([term.startswith(w) for w in wanted]) if prefix else term.isin(wanted)
             postings = postings.where(keep)
-        lengths = F.array(*[F.lit(n) for n in sorted({len(w) for w in wanted})])
         right = F.broadcast(pinned)
     else:
         right = words
-        lengths = words.agg(F.sort_array(F.collect_set(F.length(word_side)))).scalar()
+    lengths = F.array(*[F.lit(n) for n in distinct_lengths(right, word_side)])
     if not prefix:
         keyed = postings.withColumn("__key", term)
     else:
@@ -190,7 +189,7 @@ def boost_by_meta(
     pairs = F.explode(F.map_filter("meta", lambda k, v: k.isin(list(weights)))).alias("field", "value")
     fields = index.docs.select("doc_id", pairs)
     split = T.split_words(F.col("value"))
-    held = fields.select("doc_id", "field", F.explode(F.array_distinct(F.transform(split, T.normalize_term))).alias("word"))
+    held = fields.select("doc_id", "field", F.explode(F.array_distinct(F.transform(split, lambda w: T.normalize_term(w)))).alias("word"))
     matched = held.join(idf, "word").groupBy("query_id", "doc_id", "field").agg(F.sum("idf").alias("matched_idf"))
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("field"))
     boosts = matched.join(totals, "query_id").groupBy("query_id", "doc_id").agg(

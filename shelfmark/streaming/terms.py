@@ -12,7 +12,8 @@ def settled_terms(keystrokes: DataFrame, gap: str = "300 milliseconds", lateness
 
     ``keystrokes`` has user_id, ts, seq, term. Later ones than ``lateness`` are dropped.
     """
-    watched = keystrokes.withWatermark("ts", lateness)
+    timed = keystrokes.withColumn("ts", F.col("ts").cast("timestamp"))
+    watched = timed.withWatermark("ts", lateness)
     bursts = watched.groupBy("user_id", F.session_window("ts", gap).alias("burst"))
     last = bursts.agg(F.max(F.struct("ts", "seq", "term")).alias("last"))
     return last.select("user_id", "last.ts", "last.term")
