@@ -19,6 +19,10 @@ DROPPED_PUNCTUATION = r"\p{Pd}\p{Pe}\p{Pf}\p{Pi}\p{Po}\p{Ps}"
 # Connector characters that are always kept in a term.
 KEPT_CHARACTERS = ["_", "‿", "⁀", "⁔", "︳", "︴", "﹍", "﹎", "﹏", "＿"]
 
+# Stands in for a dropped character where positions must be kept: no text holds this code point,
+# which is set aside for such use.
+STAND_IN = "\ufdd0"
+
 # A character that keeps a word from vanishing in normalization. Kept characters are solid, too,
 # as long as they are no dropped punctuation, which holds for the ones above.
 SOLID = f"[^{BLANKS}{ZERO_WIDTH_SPACE}{DROPPED_PUNCTUATION}\\p{{M}}]"
@@ -66,15 +70,19 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def decompose(text: Column, mark: str = "") -> Column:
+    """``text`` decomposed, every combining mark replaced by ``mark``."""
+    accented, plain = _accent_table()
+    bare = F.regexp_replace(F.translate(text, accented, plain), r"\p{M}" + ("" if mark else "+"), mark)
+    return bind(bare, lambda t: F.when(t.rlike("[가-힣]"), _split_hangul(t)).otherwise(t))
+
+
 def fold_accents(text: Column) -> Column:
     """``text`` decomposed and without combining marks; plain ASCII passes through untouched.
 
     Mentions ``text`` three times: give it a column, or a value under :func:`bind`.
     """
-    accented, plain = _accent_table()
-    bare = F.regexp_replace(F.translate(text, accented, plain), r"\p{M}+", "")
-    folded = bind(bare, lambda t: F.when(t.rlike("[가-힣]"), _split_hangul(t)).otherwise(t))
-    return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), decompose(text)).otherwise(text)
 
 
 def character_list(characters: list[str]) -> str:
@@ -82,19 +90,22 @@ def character_list(characters: list[str]) -> str:
     return "".join("\\x{%x}" % ord(c) for c in characters)
 
 
-def strip_punctuation(text: Column, kept: list[str] | None = None) -> Column:
+def strip_punctuation(text: Column, kept: list[str] | None = None, stand_in: str = "") -> Column:
     """Drop dash, bracket, quote and other punctuation, except the ``kept`` characters."""
     kept = [c for c in (KEPT_CHARACTERS if kept is None else kept) if unicodedata.category(c) != "Pc"]
-    if not kept:
-        return F.regexp_replace(text, f"[{DROPPED_PUNCTUATION}]", "")
-    return F.regexp_replace(text, f"[{DROPPED_PUNCTUATION}&&[^{character_list(kept)}]]", "")
+    spared = f"&&[^{character_list(kept)}]" if kept else ""
+    return F.regexp_replace(text, f"[{DROPPED_PUNCTUATION}{spared}]", stand_in)
+
+
+def merge_blanks(text: Column) -> Column:
+    """Runs of blanks as one space, none at the ends."""
+    merged = F.regexp_replace(text, f"[{BLANKS}]{{2,}}", " ")
+    return F.regexp_replace(merged, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
 
 
 def normalize_exact(text: Column, kept: list[str] | None = None) -> Column:
     """The term as compared with accents: punctuation gone, lower case, blank runs merged, trimmed."""
-    lowered = F.lower(strip_punctuation(text, kept))
-    merged = F.regexp_replace(lowered, f"[{BLANKS}]{{2,}}", " ")
-    return F.regexp_replace(merged, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
+    return merge_blanks(F.lower(strip_punctuation(text, kept)))
 
 
 def normalize_term(text: Column, kept: list[str] | None = None) -> Column:

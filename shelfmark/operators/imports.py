@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from .skew import HOT_ROWS, rank_in_group, skew_join
+from .skew import HOT_ROWS, hot_keys, rank_in_group, skew_join
 from ..session import checkpointed
 
 GROUP = ["__stem", "__ext"]
@@ -102,11 +102,11 @@ def _jumps(runs: DataFrame) -> DataFrame:
     )
 
 
-def _choose(files: DataFrame, jumps: DataFrame | None, order: list[str], hot_rows: int) -> DataFrame:
+def _choose(files: DataFrame, jumps: DataFrame | None, order: list[str], hot: tuple[DataFrame | None]) -> DataFrame:
     """Each file's place in its group's list of names."""
     if jumps is None:
         return files.withColumn("__place", F.col("__rank"))
-    joined = skew_join(files, jumps, GROUP, "left", order, hot_rows)
+    joined = skew_join(files, jumps, GROUP, "left", order, known=hot)
     ahead = F.aggregate(
         F.coalesce("__jumps", F.array().cast("array<struct<at:bigint,by:bigint>>")),
         F.lit(0).cast("bigint"),
@@ -152,7 +152,8 @@ def resolve_name_clash(
     ``existing`` has one column ``name``: what the destination already holds.
     """
     named = files.withColumn("__stem", N.stem_of(F.col(target))).withColumn("__ext", N.extension_of(F.col(target)))
-    ranked = rank_in_group(named, GROUP, [(c, True) for c in order], "__rank", hot_rows)
+    hot = (hot_keys(named, GROUP, hot_rows),)
+    ranked = rank_in_group(named, GROUP, [(c, True) for c in order], "__rank", hot_rows, known=hot)
     ranked = ranked.withColumn("__rank", F.col("__rank") - 1)
     root = F.regexp_replace("__stem", r"(-[1-9][0-9]{0,17})+$", "")
 
@@ -167,24 +168,26 @@ def resolve_name_clash(
     meeting = groups.groupBy("__root", "__ext").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     contested = groups.join(meeting, ["__root", "__ext"], "left_semi").select(*GROUP)
     if contested.isEmpty():
-        chosen = _choose(ranked, None if present is None else _jumps(present), order, hot_rows)
+        chosen = _choose(ranked, None if present is None else _jumps(present), order, hot)
         return _finish(chosen, out)
 
     ranked = checkpointed(ranked)
-    players = skew_join(ranked, contested, GROUP, "left_semi", order, hot_rows)
-    lost = None
+    players = skew_join(ranked, contested, GROUP, "left_semi", order, known=hot)
+    lost, state = None, None
     while True:
         runs = present if lost is None else _runs(lost, hot_rows)
         if lost is not None and present is not None:
             runs = runs.unionByName(present)
         jumps = None if runs is None else _jumps(runs)
-        news = _lost(_choose(players, jumps, order, hot_rows), order)
+        news = _lost(_choose(players, jumps, order, hot), order)
         known = news if lost is None else news.unionByName(lost)
         merged = checkpointed(known.groupBy(*GROUP, "__k").agg(F.min("__from").alias("__from")))
-        if merged.isEmpty() or (lost is not None and merged.exceptAll(lost).isEmpty()):
+        # Rows are only added and ranks only fall, so equal totals mean that nothing changed.
+        before, state = state, merged.agg(F.count(F.lit(1)), F.sum("__from")).first()
+        if state[0] == 0 or state == before:
             break
         lost = merged
-    return _finish(_choose(ranked, jumps, order, hot_rows), out)
+    return _finish(_choose(ranked, jumps, order, hot), out)
 
 
 def _finish(chosen: DataFrame, out: str) -> DataFrame:

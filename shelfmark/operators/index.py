@@ -14,13 +14,19 @@ from ..functions import text as T
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Postings (lang, term, term_exact, doc_id, tf, positions, weight) beside their documents."""
+    """Postings (lang, term, term_exact, doc_id, tf, positions, weight), documents, their lengths.
+
+    Lengths (lang, doc_id, n_terms) are a narrow table of their own: every search reads them all.
+    """
 
     postings: DataFrame
     docs: DataFrame
+    lengths: DataFrame
+    lengths_are_computed: bool = True
 
     def in_language(self, lang: str) -> TextIndex:
-        return TextIndex(self.postings.where(F.col("lang") == lang), self.docs.where(F.col("lang") == lang))
+        parts = [part.where(F.col("lang") == lang) for part in (self.postings, self.docs, self.lengths)]
+        return TextIndex(*parts, self.lengths_are_computed)
 
 
 def index_documents(catalog: DataFrame) -> DataFrame:
@@ -70,17 +76,30 @@ def field_tokens(value: Column) -> Column:
 
 
 def document_terms(docs: DataFrame, kept: list[str] | None = None) -> DataFrame:
-    """One row per word: doc_id, lang, position, term, term_exact. Words without substance are left out."""
-    words = docs.select("doc_id", "lang", F.posexplode(T.split_words(F.col("content"))).alias("position", "word"))
-    # Most words are plain lower case already and skip the regex work.
-    word = F.col("word")
-    plain = ~word.rlike("[^a-z0-9]") & (word != "")
-    solid = plain | word.rlike(T.SOLID if kept is None else f"{T.SOLID}|[{T.character_list(kept)}]")
-    exact = F.when(plain, word).otherwise(T.normalize_exact(word, kept))
-    spelled = words.where(solid).select("doc_id", "lang", "position", exact.alias("term_exact"))
-    # The one-row generator keeps later filters on the term from repeating its computation.
-    folded = F.explode(F.array(T.fold_accents(F.col("term_exact")))).alias("term")
-    return spelled.select("*", folded)
+    """One row per word: doc_id, lang, position, term_exact, term. Words without substance are left out.
+
+    Texts are normalized as a whole, which is far cheaper than word by word. Dropped characters
+    leave a stand-in behind, so that a word they make up still counts as a position.
+    """
+    content = F.col("content")
+    texts = docs.select(
+        "doc_id", "lang", content.rlike(r"[^\x00-\x7F]").alias("accented"),
+        F.lower(T.strip_punctuation(content, kept, T.STAND_IN)).alias("exact"),
+    )
+    folded = T.decompose(F.col("exact"), T.STAND_IN)
+    texts = texts.select("doc_id", "lang", "exact", F.when(F.col("accented"), folded).alias("folded"))
+    exact_words, folded_words = T.split_words(F.col("exact")), T.split_words(F.col("folded"))
+    pairs = F.arrays_zip(exact_words.alias("exact"), F.coalesce(folded_words, exact_words).alias("folded"))
+    words = texts.select("doc_id", "lang", F.posexplode(pairs).alias("position", "word"))
+
+    def clean(word: Column) -> Column:
+        bare = F.replace(word, F.lit(T.STAND_IN), F.lit(""))
+        # Blanks inside a word occur only where another character delimits words.
+        return F.when(bare.rlike(f"[{T.BLANKS}]"), T.merge_blanks(bare)).otherwise(bare)
+
+    pair = F.struct(clean(F.col("word.exact")).alias("term_exact"), clean(F.col("word.folded")).alias("term"))
+    # A generator of one row: filters on a term stop above it instead of repeating its computation.
+    return words.select("doc_id", "lang", "position", F.inline(F.array(pair))).where("term <> ''")
 
 
 def build_postings(docs: DataFrame, kept: list[str] | None = None) -> DataFrame:
@@ -95,8 +114,7 @@ def build_postings(docs: DataFrame, kept: list[str] | None = None) -> DataFrame:
 
 def build_index(docs: DataFrame, kept: list[str] | None = None) -> TextIndex:
     """Documents need doc_id, lang and content; other columns stay beside the index."""
-    measured = docs.withColumn("n_terms", T.count_terms(F.col("content")).cast("bigint"))
-    return TextIndex(build_postings(docs, kept), measured)
+    return TextIndex(build_postings(docs, kept), docs, document_lengths(docs))
 
 
 def write_index(index: TextIndex, path: str, term_files: int | None = None) -> None:
@@ -106,11 +124,14 @@ def write_index(index: TextIndex, path: str, term_files: int | None = None) -> N
         f"{path}/postings"
     )
     index.docs.write.mode("overwrite").partitionBy("lang").parquet(f"{path}/docs")
-    term_statistics(index.postings).write.mode("overwrite").partitionBy("lang").parquet(f"{path}/terms")
+    index.lengths.write.mode("overwrite").partitionBy("lang").parquet(f"{path}/lengths")
+    written = index.postings.sparkSession.read.parquet(f"{path}/postings")
+    term_statistics(written).write.mode("overwrite").partitionBy("lang").parquet(f"{path}/terms")
 
 
 def read_index(spark: SparkSession, path: str) -> TextIndex:
-    return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"))
+    parts = [spark.read.parquet(f"{path}/{part}") for part in ("postings", "docs", "lengths")]
+    return TextIndex(*parts, lengths_are_computed=False)
 
 
 def term_statistics(postings: DataFrame) -> DataFrame:
@@ -122,9 +143,14 @@ def term_statistics(postings: DataFrame) -> DataFrame:
     )
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
+def document_lengths(docs: DataFrame) -> DataFrame:
+    """Terms per document, counted in the text without splitting it."""
+    return docs.select("lang", "doc_id", T.count_terms(F.col("content")).cast("bigint").alias("n_terms"))
+
+
+def document_statistics(lengths: DataFrame) -> DataFrame:
     """Number of documents and their average length in terms."""
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("avg_terms"))
+    return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("avg_terms"))
 
 
 def language_entries(docs: DataFrame) -> DataFrame:

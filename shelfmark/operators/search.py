@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import stored
 from .index import TextIndex
 from .skew import HOT_ROWS, any_of, distinct_lengths, pin_small, rank_in_group
 
@@ -109,13 +110,16 @@ def score_words(index: TextIndex, matches: DataFrame, ranking: Ranking = Ranking
         F.max("length_bonus").alias("length_bonus"),
         F.collect_list(F.struct("positions", strength.alias("strength"))).alias("places"),
     )
-    # One row per query word: as bounded as the queries are.
-    spread = matches.select("query_id", "word", "doc_id").distinct()
-    frequency = spread.groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("pages_containing_term"))
-    corpus = index.docs.agg(
+    # Counting documents and scoring them both read these rows: stored, they cost one pass over
+    # the postings, which may be built on the fly from the texts.
+    per_word = stored(per_word, "word-matches")
+    frequency = per_word.groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("pages_containing_term"))
+    # Only narrow columns are kept, so storing them pays off against measuring all texts twice.
+    measured = stored(index.lengths, "lengths") if index.lengths_are_computed else index.lengths
+    corpus = measured.agg(
         F.struct(F.count(F.lit(1)).alias("total_pages"), F.avg("n_terms").alias("average_page_length"))
     ).scalar()
-    lengths = index.docs.select("doc_id", F.col("n_terms").alias("document_length"))
+    lengths = measured.select("doc_id", F.col("n_terms").alias("document_length"))
     rows = per_word.join(frequency, ["query_id", "word"]).join(lengths, "doc_id").withColumn("__corpus", corpus)
     rows = rows.select(
         "*", F.col("__corpus.total_pages").alias("total_pages"),

@@ -43,9 +43,13 @@ def skew_join(
     spread: list[str],
     hot_rows: int = HOT_ROWS,
     salts: int = 64,
+    known: tuple[DataFrame | None] | None = None,
 ) -> DataFrame:
-    """``big`` joined to ``small`` on ``on``; hot keys of ``big`` are salted by the ``spread`` columns."""
-    hot = hot_keys(big, on, hot_rows)
+    """``big`` joined to ``small`` on ``on``; hot keys of ``big`` are salted by the ``spread`` columns.
+
+    ``known`` passes hot keys that were found before, so that they are not counted again.
+    """
+    hot = known[0] if known else hot_keys(big, on, hot_rows)
     if hot is None:
         return big.join(small, on, how)
     flags = F.broadcast(hot.withColumn("__hot", F.lit(True)))
@@ -85,6 +89,7 @@ def rank_in_group(
     out: str,
     hot_rows: int = HOT_ROWS,
     max_slices: int = 512,
+    known: tuple[DataFrame | None] | None = None,
 ) -> DataFrame:
     """Row number (from 1) of each row within its ``keys`` group, as a window would give it.
 
@@ -97,7 +102,7 @@ def rank_in_group(
     if not keys:
         ranked = rank_in_group(df.withColumn("__all", F.lit(0)), ["__all"], order, out, hot_rows, max_slices)
         return ranked.drop("__all")
-    hot = hot_keys(df, keys, hot_rows)
+    hot = known[0] if known else hot_keys(df, keys, hot_rows)
     if hot is None:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*sorting)).cast("bigint"))
 

@@ -126,13 +126,13 @@ def _(spark, sf):
 @query("document_statistics", f"""WITH {INDEX}
 SELECT count(*)::BIGINT AS n_docs, round(avg(n_terms), 6) AS avg_terms FROM terms_lens""")
 def _(spark, sf):
-    stats = X.document_statistics(X.build_index(V.corpus(spark, sf)).docs)
+    stats = X.document_statistics(X.document_lengths(V.corpus(spark, sf)))
     return stats.withColumn("avg_terms", F.round("avg_terms", 6))
 
 
 @query("document_lengths", f"WITH {INDEX} SELECT doc_id, n_terms FROM terms_lens")
 def _(spark, sf):
-    return X.build_index(V.corpus(spark, sf)).docs.select("doc_id", "n_terms")
+    return X.document_lengths(V.corpus(spark, sf)).select("doc_id", "n_terms")
 
 
 @query("language_entries", "SELECT lang, count(*)::BIGINT AS page_count FROM documents GROUP BY lang")

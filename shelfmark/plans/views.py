@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators.selection import RESET, SELECT_ALL, TOGGLE
+from ..sources.tables import read_wide
+
+
+# Tables whose rows hold whole texts, with their keys.
+TEXTS = {"documents": "doc_id", "pages": "page_id"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    return read_wide(spark, path, TEXTS[name]) if name in TEXTS else spark.read.parquet(path)
 
 
 def assets(spark: SparkSession, sf: str) -> DataFrame:
