@@ -19,15 +19,19 @@ FALLBACK_STEM = "emoji"
 ASSET_ROOT = "/emojis/"
 
 
+# The last dot and what follows it, unless the dot leads the name; two dots alone are a name, too.
+# As one pattern it mentions the name once, so that names built from names stay short expressions.
+ENDING = r"(?s)(?<=.)\.[^.]+\z|(?<=[^.]|..)\.\z"
+
+
 def stem_of(name: Column) -> Column:
     """Everything before the last dot; a name whose only dot leads it has no ending."""
-    stem = F.regexp_extract(name, r"(?s)^(.+)\.[^.]*$", 1)
-    return F.when((stem == "") | (name == ".."), name).otherwise(stem)
+    return F.regexp_replace(name, ENDING, "")
 
 
 def extension_of(name: Column) -> Column:
     """The ending with its dot, or an empty string."""
-    return F.when(name == "..", F.lit("")).otherwise(F.regexp_extract(name, r"(?s)^.+(\.[^.]*)$", 1))
+    return F.regexp_extract(name, ENDING, 0)
 
 
 def has_extension(name: Column, types: list[str], case_sensitive: bool = False) -> Column:
@@ -45,15 +49,16 @@ def normalize_filename(name: Column, fallback: str = FALLBACK_STEM) -> Column:
         (r"[-_]+", "-"),
         (r"[^a-z0-9-]", ""),
         (r"-+", "-"),
+        (r"^$", fallback),
     ]:
         stem = F.regexp_replace(stem, pattern, replacement)
-    return F.concat(F.when(stem == "", F.lit(fallback)).otherwise(stem), F.lower(extension_of(name)))
+    return F.concat(stem, F.lower(extension_of(name)))
 
 
 def trim_numbered_name(name: Column, fallback: str = FALLBACK_STEM) -> Column:
     """Drop one trailing copy number from 1 to 3 with its separator."""
-    stem = F.regexp_replace(stem_of(name), f"[-_{BLANKS}][1-3]$", "")
-    return F.concat(F.when(stem == "", F.lit(fallback)).otherwise(stem), extension_of(name))
+    stem = F.regexp_replace(F.regexp_replace(stem_of(name), f"[-_{BLANKS}][1-3]$", ""), "^$", fallback)
+    return F.concat(stem, extension_of(name))
 
 
 def content_hash(content: Column) -> Column:
