@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from .skew import HOT_ROWS, hot_keys, rank_in_group, skew_join
-from ..session import checkpointed
+from ..session import checkpointed, stored
 
 GROUP = ["__stem", "__ext"]
 
@@ -181,7 +181,7 @@ def resolve_name_clash(
         jumps = None if runs is None else _jumps(runs)
         news = _lost(_choose(players, jumps, order, hot), order)
         known = news if lost is None else news.unionByName(lost)
-        merged = checkpointed(known.groupBy(*GROUP, "__k").agg(F.min("__from").alias("__from")))
+        merged = stored(known.groupBy(*GROUP, "__k").agg(F.min("__from").alias("__from")), "lost-names")
         # Rows are only added and ranks only fall, so equal totals mean that nothing changed.
         before, state = state, merged.agg(F.count(F.lit(1)), F.sum("__from")).first()
         if state[0] == 0 or state == before:

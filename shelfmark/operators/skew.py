@@ -117,10 +117,10 @@ def rank_in_group(
     flagged = df.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
     number = F.when(F.col("__hot"), _slice_number(order, bounds)).otherwise(F.lit(0))
     sliced = flagged.withColumn("__slice", number)
-    sizes = sliced.where("__hot").groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__size"))
+    sizes = sliced.where("__hot").groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__slice_rows"))
     before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     # At most MAX_HOT_KEYS * max_slices rows.
-    shifts = sizes.select(*keys, "__slice", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__shift"))
+    shifts = sizes.select(*keys, "__slice", F.coalesce(F.sum("__slice_rows").over(before), F.lit(0)).alias("__shift"))
     within = F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy(*sorting))
     return (
         sliced.join(F.broadcast(shifts), keys + ["__slice"], "left")

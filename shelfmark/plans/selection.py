@@ -93,7 +93,7 @@ SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, term FROM k WHERE next
 
 @query("settled_terms", SETTLED)
 def _(spark, sf):
-    terms = D.settled_terms(V.keystrokes(spark, sf), "30 minutes")
+    terms = D.settled_terms(V.keystrokes(spark, sf), 30 * 60 * 1000)
     return terms.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "term")
 
 
@@ -103,7 +103,7 @@ def _(spark, sf):
     stored = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     typed = stored.selectExpr("user_id", "ts", "event_id AS seq", "event_type AS term")
     path = scratch_path(spark, "terms")
-    run = D.write_settled(D.settled_terms(typed, "30 minutes"), path, scratch_path(spark, "terms-checkpoint"))
+    run = D.write_settled(D.settled_terms(typed, 30 * 60 * 1000), path, scratch_path(spark, "terms-checkpoint"))
     run.awaitTermination()
     return spark.read.schema("user_id bigint, ts timestamp, term string").parquet(path)
 

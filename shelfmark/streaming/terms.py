@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def settled_terms(keystrokes: DataFrame, gap: str = "300 milliseconds", lateness: str = "10 seconds") -> DataFrame:
+def settled_terms(keystrokes: DataFrame, gap_ms: int = 300, lateness: str = "10 seconds") -> DataFrame:
     """(user_id, ts, term): the last keystroke of every burst, a burst ending with a quiet gap.
 
     ``keystrokes`` has user_id, ts, seq, term. Later ones than ``lateness`` are dropped.
     """
+    # Session windows that just touch are merged; a keystroke exactly at the gap is to start anew.
+    gap = f"{gap_ms * 1000 - 1} microseconds"
     timed = keystrokes.withColumn("ts", F.col("ts").cast("timestamp"))
     watched = timed.withWatermark("ts", lateness)
     bursts = watched.groupBy("user_id", F.session_window("ts", gap).alias("burst"))
