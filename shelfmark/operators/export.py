@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from .skew import HOT_ROWS, rank_in_group
+from .skew import HOT_ROWS, rank_in_group, skew_join
 
 MAX_PART_BYTES = 1_024_000
+MAX_BROADCAST_SIZES = 2_000_000
 # Class prefix of style rules and the heading of the table export.
 CLASS_PREFIX = ".emoji-"
 TABLE_HEADING = "| Emoji | Filename |\n|---|---|"
@@ -130,8 +131,12 @@ def pack_by_size(
     )
     by = ([("size", False)] if "size" not in order else []) + [(c, True) for c in order]
     ranked = rank_in_group(capped, ["__size"], by, "__number", hot_rows)
-    # Broadcast is left to the planner: the plan has up to max_bytes rows.
-    joined = ranked.join(plan.withColumnRenamed("size", "__size"), "__size")
+    plan = plan.withColumnRenamed("size", "__size")
+    # The plan has at most max_bytes + 1 rows of 32 bytes.
+    if max_bytes <= MAX_BROADCAST_SIZES:
+        joined = ranked.join(F.broadcast(plan), "__size")
+    else:
+        joined = skew_join(ranked, plan, ["__size"], "inner", order, hot_rows)
     later = F.col("part") + 1 + F.floor((F.col("__number") - 1 - F.col("head")) / F.col("each"))
     part = F.when(F.col("__number") <= F.col("head"), F.col("part")).otherwise(later)
     return joined.withColumn("part", part.cast("bigint")).drop("__size", "__number", "head", "each")

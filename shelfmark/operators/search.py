@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,6 +36,16 @@ def queries_from(spark: SparkSession, terms: list[str | None]) -> DataFrame:
     )
 
 
+def process_terms(queries: DataFrame, process: Callable[[Column], Column]) -> DataFrame:
+    """Queries with a caller's function applied to the term before it is normalized."""
+    return queries.withColumn("term", process(F.col("term")))
+
+
+def process_results(rows: DataFrame, **columns: Callable[[Column], Column]) -> DataFrame:
+    """Result rows with a caller's function applied to each named column."""
+    return rows.withColumns({name: process(F.col(name)) for name, process in columns.items()})
+
+
 def is_phrase(term: Column) -> Column:
     return term.rlike(r'(?s)^\s*".+"\s*$')
 
@@ -152,7 +163,8 @@ def combine_words(scored: DataFrame, match_all: bool = True) -> DataFrame:
         )
     )
     hits = scored.groupBy("query_id", "doc_id", "n_words").agg(
-        F.sum("score").alias("score"),
+        # Rounded, so that copies of a text tie whatever order their parts were added in.
+        F.round(F.sum("score"), 9).alias("score"),
         F.count(F.lit(1)).alias("words_found"),
         F.sort_array(F.flatten(F.collect_list(spots))).alias("weighted_locations"),
     )

@@ -55,7 +55,7 @@ scored AS (
     wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * l.n_terms / c.avg_terms)) AS saturating
   FROM per_word p JOIN df d USING (query_id, word) JOIN terms_lens l USING (doc_id) CROSS JOIN corpus c),
 hits AS (
-  SELECT query_id, doc_id, sum(idf * saturating) AS score FROM scored GROUP BY query_id, doc_id, n_words
+  SELECT query_id, doc_id, round(sum(idf * saturating), 9) AS score FROM scored GROUP BY query_id, doc_id, n_words
   HAVING count(*) = n_words)"""
 
 
@@ -353,19 +353,19 @@ def _(spark, sf):
 
 @query("top_hits", f"""WITH {HITS}
 SELECT query_id, doc_id, round(score, 4) AS score FROM hits
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 50""")
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 50""")
 def _(spark, sf):
     _, hits = _hits(spark, sf)
-    best = S.top_hits(hits.withColumn("score", F.round("score", 6)), 50)
+    best = S.top_hits(hits, 50)
     return best.select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
 @query("page_hits", f"""WITH {HITS}
-SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM hits
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM hits
 QUALIFY rank <= 15""")
 def _(spark, sf):
     _, hits = _hits(spark, sf)
-    shown = S.page_hits(hits.withColumn("score", F.round("score", 6)), page=3)
+    shown = S.page_hits(hits, page=3)
     return shown.select("query_id", "doc_id", "rank")
 
 

@@ -35,9 +35,10 @@ def write_search_table(documents: DataFrame, path: str) -> None:
 
 
 def write_encoded(rows: DataFrame, path: str, by_part: bool = False) -> None:
-    """Encoded rows as JSON lines, with one folder per part if they are packed."""
-    writer = rows.write.mode("overwrite")
-    (writer.partitionBy("part") if by_part else writer).json(path)
+    """Encoded rows as JSON lines; rows packed into parts lie together, part after part."""
+    if by_part:
+        rows = rows.repartitionByRange("part", "filename").sortWithinPartitions("part", F.desc("size_bytes"), "filename")
+    rows.write.mode("overwrite").json(path)
 
 
 def write_bundle(bundle: DataFrame, path: str) -> None:
@@ -45,7 +46,11 @@ def write_bundle(bundle: DataFrame, path: str) -> None:
 
 
 def write_lines(lines: DataFrame, path: str, separator: str = "\n") -> None:
-    """Rendered lines (user_id, place, line) as text, in order, one folder per user."""
+    """Rendered lines (user_id, place, line) as text, in order, one folder per user.
+
+    Meant for the users whose selections are exported, not for all users there are: those stay a
+    table.
+    """
     ranged = lines.repartitionByRange("user_id", "place").sortWithinPartitions("user_id", "place")
     ranged.select("user_id", F.col("line").alias("value")).write.mode("overwrite").option(
         "lineSep", separator

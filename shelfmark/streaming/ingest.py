@@ -29,16 +29,16 @@ def ingest_batch(files: DataFrame, known: DataFrame, labels: DataFrame, types: l
 
     ``labels`` has pos, filename, categories, tags of an earlier catalog.
     """
-    rows = files.select(
+    arrived = files.select(
         F.col("filename").alias("name"), F.col("file_path").alias("file_id"),
         N.content_hash(F.col("content")).alias("hash"), "size", "created",
     )
+    # A copy of bytes that an earlier batch brought in, under any name, takes no part.
+    rows = arrived.join(known.select("hash"), "hash", "left_anti")
     present = known.select(F.col("filename").alias("name"), "hash")
     plan = import_plan(rows.select("name", "file_id", "hash"), present, types=types or N.INGEST_TYPES)
     taken = plan.where("status = 'imported'").join(rows.select("file_id", "size", "created"), "file_id")
-    # A copy of bytes that an earlier batch brought in under any name is a copy all the same.
-    new = taken.join(known.select("hash"), "hash", "left_anti").withColumn("filename", F.col("final_name"))
-    labelled = carry_labels(new, labels)
+    labelled = carry_labels(taken.withColumn("filename", F.col("final_name")), labels)
     return labelled.select(
         N.stable_id(F.col("filename")).alias("id"), "filename", F.col("name").alias("source"),
         N.asset_path(F.col("filename")).alias("path"), "categories", "tags", "created", "size", "hash",
