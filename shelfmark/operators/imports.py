@@ -125,18 +125,18 @@ def _lost(chosen: DataFrame, order: list[str]) -> DataFrame:
     own = F.struct(*order)
     taken = chosen.select(
         _chosen_stem().alias("__taken"), "__ext", F.struct(own.alias("at"), F.col("__stem").alias("by")).alias("__who"),
-        "__stem", "__rank",
+        "__stem", "__rank", "__place",
     )
     holders = taken.groupBy("__taken", "__ext").agg(F.min("__who").alias("__holder"))
-    losers = (
-        taken.join(holders, ["__taken", "__ext"])
-        .where(F.col("__who.at") > F.col("__holder.at"))
-        .groupBy(*GROUP)
-        .agg(F.min("__rank").alias("__from"), F.min("__who.at").alias("__late"))
-    )
+    beaten = taken.join(holders, ["__taken", "__ext"]).where(F.col("__who.at") > F.col("__holder.at"))
+    # The first loser of a group cannot have any name that is held by a still earlier file, and
+    # no later file of the group can: whole series of taken names are skipped in one round.
+    losers = beaten.groupBy(*GROUP).agg(F.min("__rank").alias("__from"), F.min("__who.at").alias("__late"))
     held = _claims(holders.withColumnRenamed("__taken", "__stem"))
     foreign = held.where(F.col("__holder.by") != F.col("__stem"))
-    return foreign.join(losers, GROUP).where(F.col("__holder.at") < F.col("__late")).select(*GROUP, "__k", "__from")
+    out_of_reach = foreign.join(losers, GROUP).where(F.col("__holder.at") < F.col("__late"))
+    lost = beaten.select(*GROUP, F.col("__place").alias("__k"), F.col("__rank").alias("__from"))
+    return lost.unionByName(out_of_reach.select(*GROUP, "__k", "__from"))
 
 
 def resolve_name_clash(
@@ -154,25 +154,26 @@ def resolve_name_clash(
     named = files.withColumn("__stem", N.stem_of(F.col(target))).withColumn("__ext", N.extension_of(F.col(target)))
     hot = (hot_keys(named, GROUP, hot_rows),)
     ranked = rank_in_group(named, GROUP, [(c, True) for c in order], "__rank", hot_rows, known=hot)
-    ranked = ranked.withColumn("__rank", F.col("__rank") - 1)
+    ranked = checkpointed(ranked.withColumn("__rank", F.col("__rank") - 1))
     root = F.regexp_replace("__stem", r"(-[1-9][0-9]{0,17})+$", "")
 
     present = None
     if existing is not None:
         taken = existing.select(N.stem_of(F.col("name")).alias("__stem"), N.extension_of(F.col("name")).alias("__ext"))
         closed = _claims(taken.distinct()).withColumn("__from", F.lit(0).cast("bigint"))
-        targets = named.select(*GROUP).distinct()
+        targets = ranked.select(*GROUP).distinct()
         present = _runs(closed.join(targets, GROUP, "left_semi"), hot_rows)
 
-    groups = named.select(*GROUP).distinct().withColumn("__root", root)
+    groups = ranked.select(*GROUP).distinct().withColumn("__root", root)
     meeting = groups.groupBy("__root", "__ext").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     contested = groups.join(meeting, ["__root", "__ext"], "left_semi").select(*GROUP)
     if contested.isEmpty():
         chosen = _choose(ranked, None if present is None else _jumps(present), order, hot)
         return _finish(chosen, out)
 
-    ranked = checkpointed(ranked)
-    players = skew_join(ranked, contested, GROUP, "left_semi", order, known=hot)
+    # Every round reads the players several times: they are stored, with the few columns rounds need.
+    places = ranked.select(*order, *GROUP, "__rank")
+    players = stored(skew_join(places, contested, GROUP, "left_semi", order, known=hot), "contested-names")
     lost, state = None, None
     while True:
         runs = present if lost is None else _runs(lost, hot_rows)
