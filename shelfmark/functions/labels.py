@@ -17,7 +17,9 @@ RELATED_TAG_RULES = [
     ("roo", ["animal", "panda"]),
 ]
 
-LABELS_TYPE = "struct<categories:array<string>,tags:array<string>>"
+# The fence a reply may come in.
+FENCE = f"^```json[{BLANKS}]*|[{BLANKS}]*```$"
+
 
 
 def _strings(values: list[str]) -> Column:
@@ -46,7 +48,7 @@ def distinct_labels(name: Column, categories: Column, tags: Column, related: Col
 
 def parse_label_reply(reply: Column) -> Column:
     """Labels from a labeller's reply, fenced or bare JSON; null where it is not JSON."""
-    bare = F.regexp_replace(reply, f"^```json[{BLANKS}]*|[{BLANKS}]*```$", "")
+    bare = F.regexp_replace(reply, FENCE, "")
     bare = F.regexp_replace(bare, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
     parsed = F.from_json(
         bare,

@@ -19,6 +19,18 @@ FALLBACK_STEM = "emoji"
 ASSET_ROOT = "/emojis/"
 
 
+# What a stem loses when it is cleaned, in this order, and the copy numbers
+# that are trimmed before.
+CLEANING = [
+    (f"^[0-9]+[-_{BLANKS}]+", ""),
+    ("[-_]+$", ""),
+    ("^[-_]+", ""),
+    ("[-_]+", "-"),
+    ("[^a-z0-9-]", ""),
+    ("-+", "-"),
+]
+COPY_NUMBER = f"[-_{BLANKS}][1-3]$"
+
 # The last dot and what follows it, unless the dot leads the name; two dots alone are a name, too.
 # As one pattern it mentions the name once, so that names built from names stay short expressions.
 ENDING = r"(?s)(?<=.)\.[^.]+\z|(?<=[^.]|..)\.\z"
@@ -42,22 +54,14 @@ def has_extension(name: Column, types: list[str], case_sensitive: bool = False)
 def normalize_filename(name: Column, fallback: str = FALLBACK_STEM) -> Column:
     """A web-safe name: lower case, leading numbering gone, only letters, digits and single dashes."""
     stem = F.lower(stem_of(name))
-    for pattern, replacement in [
-        (f"^[0-9]+[-_{BLANKS}]+", ""),
-        (r"[-_]+$", ""),
-        (r"^[-_]+", ""),
-        (r"[-_]+", "-"),
-        (r"[^a-z0-9-]", ""),
-        (r"-+", "-"),
-        (r"^$", fallback),
-    ]:
+    for pattern, replacement in [*CLEANING, ("^$", fallback)]:
         stem = F.regexp_replace(stem, pattern, replacement)
     return F.concat(stem, F.lower(extension_of(name)))
 
 
 def trim_numbered_name(name: Column, fallback: str = FALLBACK_STEM) -> Column:
     """Drop one trailing copy number from 1 to 3 with its separator."""
-    stem = F.regexp_replace(F.regexp_replace(stem_of(name), f"[-_{BLANKS}][1-3]$", ""), "^$", fallback)
+    stem = F.regexp_replace(F.regexp_replace(stem_of(name), COPY_NUMBER, ""), "^$", fallback)
     return F.concat(stem, extension_of(name))
 
 

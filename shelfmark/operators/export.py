@@ -13,9 +13,16 @@ from .skew import HOT_ROWS, rank_in_group, skew_join
 
 MAX_PART_BYTES = 1_024_000
 MAX_BROADCAST_SIZES = 2_000_000
-# Class prefix of style rules and the heading of the table export.
-CLASS_PREFIX = ".emoji-"
+# The formats of the exports.
+IMAGE_TAG = '<img src="%s" alt="%s" />'
+STYLE_RULE = """.emoji-%s {
+  background-image: url('%s');
+  background-size: contain;
+  background-repeat: no-repeat;
+  background-position: center;
+}"""
 TABLE_HEADING = "| Emoji | Filename |\n|---|---|"
+TABLE_ROW = "| ![%s](%s) | %s |"
 
 
 def _attribute(value: Column) -> Column:
@@ -33,24 +40,20 @@ def export_html(selected: DataFrame, origin: str | None, escape: bool = True) ->
     source, name = N.absolute_url(F.col("path"), origin), F.col("filename")
     if escape:
         source, name = _attribute(source), _attribute(name)
-    line = F.format_string('<img src="%s" alt="%s" />', source, name)
+    line = F.format_string(IMAGE_TAG, source, name)
     return selected.select("user_id", "place", line.alias("line"))
 
 
 def export_css(selected: DataFrame, origin: str | None) -> DataFrame:
     """One rule per asset; the sink separates rules by a blank line."""
-    rule = F.format_string(
-        CLASS_PREFIX + "%s {\n  background-image: url('%s');\n  background-size: contain;\n"
-        "  background-repeat: no-repeat;\n  background-position: center;\n}",
-        F.col("id"), N.absolute_url(F.col("path"), origin),
-    )
+    rule = F.format_string(STYLE_RULE, F.col("id"), N.absolute_url(F.col("path"), origin))
     return selected.select("user_id", "place", rule.alias("line"))
 
 
 def export_markdown(selected: DataFrame, origin: str | None) -> DataFrame:
     """Table rows, headed per user by a row with place -1."""
     name = F.col("filename")
-    row = F.format_string("| ![%s](%s) | %s |", name, N.absolute_url(F.col("path"), origin), name)
+    row = F.format_string(TABLE_ROW, name, N.absolute_url(F.col("path"), origin), name)
     lines = selected.select("user_id", "place", row.alias("line"))
     headings = selected.select("user_id").distinct().select(
         "user_id", F.lit(-1).cast("bigint").alias("place"), F.lit(TABLE_HEADING).alias("line")

@@ -31,8 +31,11 @@ def with_survivor(files: DataFrame, order: list[str], hot_rows: int = HOT_ROWS)
 
 
 def dedupe_exact(files: DataFrame, order: list[str]) -> DataFrame:
-    """The first file per content hash, by aggregation alone (no join, no per-group sort)."""
-    best = files.groupBy("hash").agg(F.min_by(F.struct(*files.columns), F.struct(*order)).alias("kept"))
+    """The first file per content hash, by aggregation alone (no join, no per-group sort).
+
+    Files without a hash could not be read and are left out.
+    """
+    best = files.where("hash is not null").groupBy("hash").agg(F.min_by(F.struct(*files.columns), F.struct(*order)).alias("kept"))
     return best.select("kept.*")
 
 
@@ -151,7 +154,9 @@ def resolve_name_clash(
 
     ``existing`` has one column ``name``: what the destination already holds.
     """
-    named = files.withColumn("__stem", N.stem_of(F.col(target))).withColumn("__ext", N.extension_of(F.col(target)))
+    # A generator of one row: what is asked of the parts does not repeat the work of cleaning names.
+    parts = F.struct(N.stem_of(F.col(target)).alias("__stem"), N.extension_of(F.col(target)).alias("__ext"))
+    named = files.select("*", F.inline(F.array(parts)))
     hot = (hot_keys(named, GROUP, hot_rows),)
     ranked = rank_in_group(named, GROUP, [(c, True) for c in order], "__rank", hot_rows, known=hot)
     ranked = checkpointed(ranked.withColumn("__rank", F.col("__rank") - 1))

@@ -67,6 +67,13 @@ def test_packing_is_the_greedy_fold(spark):
     assert {r["part"] for r in E.pack_by_size(df, 0).collect()} == {1}
 
 
+def test_packing_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(E, "MAX_BROADCAST_SIZES", 0)
+    rows = [(i % 7, f"f{i:03d}") for i in range(120)]
+    packed = E.pack_by_size(spark.createDataFrame(rows, "size bigint, filename string"), 20, hot_rows=10)
+    assert {r["filename"]: r["part"] for r in packed.collect()} == greedy(rows, 20)
+
+
 def test_bundle(spark):
     files = spark.createDataFrame([("1", "a", b"12"), ("2", "b", b"3")], "id string, filename string, content binary")
     selection = spark.createDataFrame([(1, 1, "2"), (2, 1, "2")], "user_id bigint, place bigint, item_id string")
