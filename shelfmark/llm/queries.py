@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import mixing, packing, secrets, simhash, toxicity
+from shelfmark.llm import langid, mixing, packing, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +45,19 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", "severity", "toxic")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+    model = langid.fit(docs.where("NOT held_out"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_simhash_groups": op4_simhash_groups,
     "op5_pack_sequences": op5_pack_sequences,
     "op7_link_secrets": op7_link_secrets,
     "op9_toxicity": op9_toxicity,
+    "op10_language": op10_language,
 }
 
 ORACLES: dict[str, str] = {}
