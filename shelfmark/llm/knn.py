@@ -170,17 +170,17 @@ def _search_dim(rows: DataFrame, is_query, k: int, pivots: int, block: int, slic
     sent = placed.join(limits, "cell").where("away >= least")
     parts = max(1, -(-total // slice_rows))
     data = sent.select("block", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), "vec_id", "vec")
-    asking = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("block", "part", "vec_id", "vec")
+    asking = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(*[F.col(c).alias(f"q_{c}") for c in ("block", "part", "vec_id", "vec")])
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         dim = centre.shape[1]
-        q, x = (np.array(f["vec"].tolist(), float).reshape(len(f), dim) for f in (left, right))
-        a, b, c = best_of(q, left["vec_id"].to_numpy(), right["vec_id"].to_numpy(), x, k)
+        q, x = (np.array(v.tolist(), float).reshape(len(v), dim) for v in (left["q_vec"], right["vec"]))
+        a, b, c = best_of(q, left["q_vec_id"].to_numpy(), right["vec_id"].to_numpy(), x, k)
         return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
 
-    return asking.groupBy("block", "part").cogroup(data.groupBy("block", "part")).applyInPandas(solve, schema)
+    return asking.groupBy("q_block", "q_part").cogroup(data.groupBy("block", "part")).applyInPandas(solve, schema)
 
 
 def _chain(centre: np.ndarray) -> np.ndarray:

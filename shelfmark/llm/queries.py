@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import langid, mixing, packing, secrets, simhash, toxicity
+from shelfmark.llm import collisions, knn, langid, mixing, packing, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = knn.quantized(table(spark, sf_dir, "embeddings"))
+    found = knn.search(vectors, F.col("vec_id") % 50 == 0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -29,6 +35,10 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op7_link_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: ~s["weak"])
@@ -52,9 +62,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_nearest_vectors": op1_nearest_vectors,
     "op3_mix_sources": op3_mix_sources,
     "op4_simhash_groups": op4_simhash_groups,
     "op5_pack_sequences": op5_pack_sequences,
+    "op6_vector_copies": op6_vector_copies,
     "op7_link_secrets": op7_link_secrets,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
