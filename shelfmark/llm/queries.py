@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import collisions, knn, langid, mixing, packing, secrets, simhash, toxicity
+from shelfmark.llm import collisions, katz, knn, langid, mixing, packing, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op2_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    return katz.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -63,6 +68,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_nearest_vectors": op1_nearest_vectors,
+    "op2_katz_scores": op2_katz_scores,
     "op3_mix_sources": op3_mix_sources,
     "op4_simhash_groups": op4_simhash_groups,
     "op5_pack_sequences": op5_pack_sequences,
