@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import collisions, katz, knn, langid, mixing, packing, secrets, simhash, toxicity
+from shelfmark.llm import collisions, katz, knn, langid, mixing, packing, pages, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op7_link_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extract(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -74,6 +79,7 @@ QUERIES = {
     "op5_pack_sequences": op5_pack_sequences,
     "op6_vector_copies": op6_vector_copies,
     "op7_link_secrets": op7_link_secrets,
+    "op8_page_text": op8_page_text,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
 }
