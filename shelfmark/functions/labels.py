@@ -83,5 +83,5 @@ def hit_record(url: Column, raw_url: Column, content: Column, meta: Column, trim
         F.coalesce(categories, F.array().cast("array<string>")).alias("categories"),
         F.array().cast("array<string>").alias("tags"),
         F.lit("").alias("created"),
-        F.coalesce(F.try_to_number(digits, F.lit("999999999999999999")).cast("bigint"), F.lit(0)).alias("size"),
+        F.coalesce(digits.try_cast("bigint"), F.lit(0)).alias("size"),
     ]

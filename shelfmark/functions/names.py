@@ -87,7 +87,7 @@ def created_day(created: Column) -> Column:
 
 
 def mime_type(name: Column) -> Column:
-    ending = F.substring(F.lower(extension_of(name)), 2, 100)
+    ending = F.regexp_replace(F.lower(extension_of(name)), r"^\.", "")
     return F.concat(F.lit("image/"), F.when(ending == "jpg", F.lit("jpeg")).otherwise(ending))
 
 

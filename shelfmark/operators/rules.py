@@ -15,11 +15,13 @@ MAX_INLINE_RULES = 200
 def related_tags_from(assets: DataFrame, rules: DataFrame, max_inline: int = MAX_INLINE_RULES) -> DataFrame:
     """Add ``related``: the tags of the first rule (priority, needle, tags) whose needle is in ``path``.
 
+    An empty needle is in every path; rules of one priority go by needle.
+
     Many rules are matched by an equi-join: a path is cut into all pieces as long as some needle.
     """
     pinned = pin_small(rules, max_inline)
     if pinned is not None:
-        listed = [(r["needle"], r["tags"]) for r in pinned.orderBy("priority").collect()]
+        listed = [(r["needle"], r["tags"]) for r in pinned.orderBy("priority", "needle").collect()]
         return assets.withColumn("related", related_tags(F.col("path"), listed))
     lengths = F.array(*[F.lit(n) for n in distinct_lengths(rules, "needle")]).cast("array<int>")
     pieces = F.flatten(
@@ -31,8 +33,8 @@ def related_tags_from(assets: DataFrame, rules: DataFrame, max_inline: int = MAX
         )
     )
     paths = assets.select("path").distinct()
-    cut = paths.select("path", F.explode(F.array_distinct(pieces)).alias("needle"))
-    first = cut.join(rules, "needle").groupBy("path").agg(F.min_by("tags", "priority").alias("related"))
+    cut = paths.select("path", F.explode(F.concat(F.array(F.lit("")), F.array_distinct(pieces))).alias("needle"))
+    first = cut.join(rules, "needle").groupBy("path").agg(F.min_by("tags", F.struct("priority", "needle")).alias("related"))
     return assets.join(first, "path", "left").withColumn(
         "related", F.coalesce("related", F.array().cast("array<string>"))
     )

@@ -31,7 +31,8 @@ def vector_topk(
 
     ``rows`` has id and vector, ``queries`` has query_id and vector. Every task reduces its rows
     to its own best per query, so only limit x queries x tasks rows are shuffled. More queries
-    than ``max_queries`` are split by hash into several passes.
+    than ``max_queries`` are split by hash into several passes. Rows without a distance (a zero vector has no cosine)
+    are left out.
     """
     pinned = pin_small(queries, max_queries)
     if pinned is None:
@@ -54,10 +55,10 @@ def vector_topk(
             block = np.stack([np.asarray(v, dtype=np.float64) for v in batch["vector"]])
             own = batch["id"].to_numpy()
             for i, line in enumerate(_distances(query_matrix, block, metric)):
-                near = np.arange(len(line))
-                if len(line) > limit:
+                near = np.flatnonzero(~np.isnan(line))
+                if len(near) > limit:
                     # Everything up to the limit-th distance, ties included.
-                    near = np.flatnonzero(line <= np.partition(line, limit - 1)[limit - 1])
+                    near = near[line[near] <= np.partition(line[near], limit - 1)[limit - 1]]
                 found = pd.DataFrame({"query_id": query_ids[i], "id": own[near], "distance": line[near]})
                 merged = found if best[i] is None else pd.concat([best[i], found])
                 best[i] = merged.sort_values(["distance", "id"]).head(limit)
