@@ -37,6 +37,10 @@ def _jpeg_size(data: bytes) -> tuple[int, int] | None:
     at = 2
     while at + 9 <= len(data) and data[at] == 0xFF:
         marker = data[at + 1]
+        if marker == 0xFF:
+            # Any number of fill bytes may stand before a marker.
+            at += 1
+            continue
         if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             height, width = struct.unpack(">HH", data[at + 5 : at + 9])
             return width, height
@@ -44,12 +48,22 @@ def _jpeg_size(data: bytes) -> tuple[int, int] | None:
     return None
 
 
+def _webp_pages(data: bytes) -> int:
+    """Frames of a WebP, by stepping over its chunks, each padded to an even size."""
+    at, pages = 12, 0
+    while at + 8 <= len(data):
+        pages += data[at : at + 4] == b"ANMF"
+        size = int.from_bytes(data[at + 4 : at + 8], "little")
+        at += 8 + size + size % 2
+    return pages
+
+
 def _webp_size(data: bytes) -> tuple[int, int, int] | None:
     kind = data[12:16]
     if kind == b"VP8X":
         width = 1 + int.from_bytes(data[24:27], "little")
         height = 1 + int.from_bytes(data[27:30], "little")
-        return width, height, max(1, data.count(b"ANMF")) if data[20] & 2 else 1
+        return width, height, max(1, _webp_pages(data)) if data[20] & 2 else 1
     if kind == b"VP8L":
         bits = int.from_bytes(data[21:25], "little")
         return (bits & 0x3FFF) + 1, ((bits >> 14) & 0x3FFF) + 1, 1

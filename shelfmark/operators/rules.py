@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import related_tags
-from .skew import distinct_lengths, pin_small
+from .skew import distinct_lengths, length_array, pin_small
 
 # Rules up to this number become one expression evaluated per row.
 MAX_INLINE_RULES = 200
@@ -23,7 +23,7 @@ def related_tags_from(assets: DataFrame, rules: DataFrame, max_inline: int = MAX
     if pinned is not None:
         listed = [(r["needle"], r["tags"]) for r in pinned.orderBy("priority", "needle").collect()]
         return assets.withColumn("related", related_tags(F.col("path"), listed))
-    lengths = F.array(*[F.lit(n) for n in distinct_lengths(rules, "needle")]).cast("array<int>")
+    lengths = length_array(distinct_lengths(rules, "needle"))
     pieces = F.flatten(
         F.transform(
             F.filter(lengths, lambda n: n <= F.length("path")),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..session import stored
 from .index import TextIndex
-from .skew import HOT_ROWS, any_of, distinct_lengths, pin_small, rank_in_group
+from .skew import HOT_ROWS, any_of, distinct_lengths, length_array, pin_small, rank_in_group
 
 # Distinct query words up to this number are pushed into the postings scan as a filter.
 PUSHED_WORDS = 200
@@ -94,10 +94,10 @@ def match_words(
         right = F.broadcast(pinned)
     else:
         right = words
-    lengths = F.array(*[F.lit(n) for n in distinct_lengths(right, word_side)])
     if not prefix:
         keyed = postings.withColumn("__key", term)
     else:
+        lengths = length_array(distinct_lengths(right, word_side))
         fitting = F.filter(lengths, lambda n: n <= F.length(term))
         keyed = postings.withColumn("__key", F.explode(F.transform(fitting, lambda n: F.substring(term, F.lit(1), n))))
     return _matches(keyed, right, word_side)
@@ -181,15 +181,38 @@ def search(
 ) -> DataFrame:
     """Hits (query_id, doc_id, score, weighted_locations) of every query.
 
-    A blank term has no hits here; a null term is a filter-only search and hits every document
-    with score zero.
+    A quoted term hits documents in which its words follow each other, each matched whole. A blank term
+    has no hits here; a null term is a filter-only search and hits every document with score zero.
     """
     words = query_words(queries.where("term is not null"))
     matches = match_words(index, words, prefix, exact_diacritics)
+    quoted = queries.where(is_phrase(F.col("term")))
+    phrased = not quoted.isEmpty()
+    if phrased:
+        marks = quoted.select("query_id").distinct().withColumn("__quoted", F.lit(True))
+        whole = F.col("word_exact") == F.col("term_exact") if exact_diacritics else F.col("word") == F.col("term")
+        matches = matches.join(marks, "query_id", "left").where(F.col("__quoted").isNull() | whole).drop("__quoted")
     scored = score_words(index, matches, ranking)
-    hits = combine_words(scored, match_all).select("query_id", "doc_id", "score", "weighted_locations")
+    hits = combine_words(scored, match_all)
+    if phrased:
+        # The stored matches hold the positions already: no second pass over the postings.
+        held = scored.join(query_words(quoted, distinct=False).select("query_id", "word", "place", F.col("n_words").alias("n_placed")), ["query_id", "word"])
+        positions = F.flatten(F.transform("places", lambda p: p["positions"]))
+        runs = phrase_starts(held.select("query_id", F.col("n_placed").alias("n_words"), "doc_id", "place", positions.alias("positions")))
+        runs = runs.select("query_id", "doc_id").distinct().withColumn("__run", F.lit(True))
+        hits = hits.join(marks, "query_id", "left").join(runs, ["query_id", "doc_id"], "left").where("__quoted IS NULL OR __run")
+    hits = hits.select("query_id", "doc_id", "score", "weighted_locations")
     if ranking.meta_weights:
         hits = boost_by_meta(index, hits, words, scored, ranking.meta_weights)
+    unworded = queries.where("term is null")
+    if not unworded.isEmpty():
+        # One short list: the numbers of the queries without a term.
+        numbers = unworded.agg(F.collect_set("query_id")).scalar()
+        every = index.docs.select("doc_id").withColumn("__numbers", numbers).select(
+            F.explode("__numbers").alias("query_id"), "doc_id", F.lit(0.0).alias("score"),
+            F.array().cast(hits.schema["weighted_locations"].dataType).alias("weighted_locations"),
+        )
+        hits = hits.unionByName(every)
     return hits
 
 
@@ -224,7 +247,11 @@ def filter_only_search(docs: DataFrame, wanted: dict[str, list[str]], mode: str
 def phrase_search(index: TextIndex, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, start) wherever the words of a quoted term follow each other."""
     quoted = query_words(queries.where(is_phrase(F.col("term"))), distinct=False)
-    matches = match_words(index, quoted, prefix=False)
+    return phrase_starts(match_words(index, quoted, prefix=False))
+
+
+def phrase_starts(matches: DataFrame) -> DataFrame:
+    """(query_id, doc_id, start) from the ``positions`` of each word and its ``place`` in the phrase of ``n_words``."""
     placed = matches.select(
         "query_id", "n_words", "doc_id", "place", F.explode("positions").alias("position")
     ).withColumn("start", F.col("position") - F.col("place"))

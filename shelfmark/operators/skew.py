@@ -129,14 +129,17 @@ def rank_in_group(
     )
 
 
-def distinct_lengths(df: DataFrame, column: str, most: int = MAX_PINNED_ROWS) -> list[int]:
-    """The lengths the strings of a column have: few, as words and needles are short."""
-    found = df.select(F.length(column).alias("n")).distinct().orderBy("n").limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"strings of more than {most} different lengths in {column}")
+def distinct_lengths(df: DataFrame, column: str) -> list[int]:
+    """The lengths the strings of a column have: k different ones take k * k / 2 characters or more, so they are few."""
+    found = df.select(F.length(column).alias("n")).distinct().orderBy("n").collect()
     return [row["n"] for row in found if row["n"]]
 
 
+def length_array(lengths: list[int]) -> Column:
+    """Lengths as one literal of the plan, however many there are."""
+    return F.from_json(F.lit(str(lengths)), "array<int>")
+
+
 def any_of(conditions: list[Column]) -> Column:
     """Disjunction as a balanced tree, so that long lists stay shallow."""
     if not conditions:

@@ -16,6 +16,8 @@ from . import views as V
 from .registry import query
 
 TERMS = ["the and", "Ère, UN", "tion en", '"of the"', "zzzzz", "  ...  ", "ouon"]
+# Number of the quoted one.
+PHRASE = 4
 
 
 def _queries(spark):
@@ -37,14 +39,17 @@ q_words AS (
 INDEX = f"{DOCS}, {V.terms_sql('docs')}"
 
 
-def _scored(matching: str) -> str:
-    """CTEs up to ``hits`` for a match condition between a term t and a query word w."""
+def _scored(matching: str, whole: str = "TRUE") -> str:
+    """CTEs up to ``hits`` for a match condition between a term t and a query word w; ``whole`` holds for quoted words."""
     return f"""{INDEX}, {Q_WORDS}, postings AS (
   SELECT term, term_exact, doc_id, count(*)::BIGINT AS tf FROM terms GROUP BY ALL),
 matches AS (
   SELECT w.query_id, w.word, w.n_words, t.doc_id, t.tf, length(w.word) / length(t.term) AS bonus,
     CASE WHEN starts_with(t.term_exact, w.word_exact) THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS accents
-  FROM postings t JOIN q_words w ON {matching}),
+  FROM postings t JOIN q_words w ON {matching} AND (w.query_id <> {PHRASE} OR {whole})),
+phrases AS (
+  SELECT DISTINCT a.doc_id FROM terms a JOIN terms b ON b.doc_id = a.doc_id AND b.position = a.position + 1
+  WHERE a.term = 'of' AND b.term = 'the'),
 per_word AS (
   SELECT query_id, word, n_words, doc_id, sum(tf)::BIGINT AS raw_tf, sum(tf * bonus * accents) AS wtf, max(bonus) AS bonus
   FROM matches GROUP BY ALL),
@@ -55,11 +60,14 @@ scored AS (
     wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * l.n_terms / c.avg_terms)) AS saturating
   FROM per_word p JOIN df d USING (query_id, word) JOIN terms_lens l USING (doc_id) CROSS JOIN corpus c),
 hits AS (
-  SELECT query_id, doc_id, round(sum(idf * saturating), 9) AS score FROM scored GROUP BY query_id, doc_id, n_words
-  HAVING count(*) = n_words)"""
+  SELECT query_id, doc_id, round(sum(idf * saturating), 9) AS score FROM scored
+  WHERE query_id <> {PHRASE} OR doc_id IN (SELECT doc_id FROM phrases)
+  GROUP BY query_id, doc_id, n_words HAVING count(*) = n_words)"""
 
 
-HITS = _scored("starts_with(t.term, w.word)")
+# Words as they match by themselves, and as a search takes them.
+MATCHED = _scored("starts_with(t.term, w.word)")
+HITS = _scored("starts_with(t.term, w.word)", "t.term = w.word")
 
 
 @query("index_documents", f"""WITH {V.CATALOG}
@@ -143,7 +151,7 @@ def _(spark, sf):
 # ---- matching and scoring -----------------------------------------------------------------
 
 
-@query("match_words", f"""WITH {HITS}
+@query("match_words", f"""WITH {MATCHED}
 SELECT query_id, word, doc_id, raw_tf, round(bonus, 6) AS length_bonus FROM per_word""")
 def _(spark, sf):
     index = X.build_index(V.corpus(spark, sf))
@@ -153,7 +161,7 @@ def _(spark, sf):
     )
 
 
-@query("bm25_explain", f"""WITH {HITS}
+@query("bm25_explain", f"""WITH {MATCHED}
 SELECT query_id, word, doc_id, raw_tf, round(wtf, 4) AS weighted_term_frequency, df AS pages_containing_term,
   n_terms AS document_length, round(avg_terms, 4) AS average_page_length, n AS total_pages, round(idf, 4) AS idf,
   round(saturating, 4) AS saturating_tf, round(idf * saturating, 4) AS score FROM scored""")
@@ -175,6 +183,15 @@ def _(spark, sf):
     return _hits(spark, sf)[1].select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
+@query("search_request", f"""WITH {HITS} SELECT query_id, doc_id, round(score, 4) AS score FROM hits
+UNION ALL SELECT {len(TERMS) + 1}, doc_id, 0.0 FROM docs""")
+def _(spark, sf):
+    index = X.build_index(V.corpus(spark, sf))
+    # A term that is missing asks for every document.
+    hits = S.search(index, S.queries_from(spark, [*TERMS, None]))
+    return hits.select("query_id", "doc_id", F.round("score", 4).alias("score"))
+
+
 @query("search_stored_index", f"WITH {HITS} SELECT query_id, doc_id, round(score, 4) AS score FROM hits")
 def _(spark, sf):
     path = scratch_path(spark, "index")
@@ -193,7 +210,7 @@ def _(spark, sf):
     return hits.select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
-EXACT = _scored("starts_with(t.term_exact, w.word_exact)")
+EXACT = _scored("starts_with(t.term_exact, w.word_exact)", "t.term_exact = w.word_exact")
 
 
 @query("exact_diacritics", f"WITH {EXACT} SELECT query_id, doc_id, round(score, 4) AS score FROM hits")
@@ -224,7 +241,8 @@ blended AS (
   SELECT o.query_id, o.doc_id, o.n_words,
     s.idf * (0.5 * o.wtf * 3.0 / (o.wtf + 2.0 * (0.5 + 0.5 * s.n_terms / s.avg_terms)) + 0.5 * o.wtf) AS part
   FROM other o JOIN scored s USING (query_id, word, doc_id))
-SELECT query_id, doc_id, round(sum(part), 4) AS score FROM blended GROUP BY query_id, doc_id, n_words HAVING count(*) = n_words""")
+SELECT query_id, doc_id, round(sum(part), 4) AS score FROM blended
+WHERE query_id <> {PHRASE} OR doc_id IN (SELECT doc_id FROM phrases) GROUP BY query_id, doc_id, n_words HAVING count(*) = n_words""")
 def _(spark, sf):
     index = X.build_index(V.corpus(spark, sf))
     ranking = S.Ranking(term_similarity=0.0, page_length=0.5, term_saturation=2.0, term_frequency=0.5)

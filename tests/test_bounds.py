@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import labels, names
-from shelfmark.operators import rules, vectors
+from shelfmark.operators import rules, skew, vectors
 
 
 @pytest.mark.parametrize("inline", [0, 200])
@@ -31,3 +31,10 @@ def test_sizes_of_any_sign_and_length(spark):
     rows = spark.createDataFrame([(i, {"size": s}) for i, s in enumerate(sizes)], "i int, meta map<string,string>")
     record = labels.hit_record(F.lit("u"), F.lit("r"), F.lit("c"), F.col("meta"))
     assert [r["size"] for r in rows.select("i", *record).orderBy("i").collect()] == [1234567890123456789, -5, 7, 12, 0, 0, 0]
+
+
+def test_any_number_of_lengths(spark):
+    words = spark.range(1, 10_102).select(F.repeat(F.lit("x"), F.col("id").cast("int")).alias("w"))
+    lengths = skew.distinct_lengths(words, "w")
+    assert lengths == list(range(1, 10_102))
+    assert spark.range(1).select(F.size(skew.length_array(lengths)).alias("n")).first()["n"] == 10_101

@@ -60,9 +60,11 @@ def test_image_sizes():
     block = b"\x2c" + bytes(8) + b"\x00\x02\x01\xaa\x00"
     gif = b"GIF89a" + struct.pack("<HH", 3, 4) + b"\x80\x00\x00" + bytes(6) + b"\x21\xf9\x01\x00\x00" + block + block + b"\x3b"
     lossless = b"RIFF....WEBPVP8L....\x2f" + ((11 - 1) | ((12 - 1) << 14)).to_bytes(4, "little")
-    extended = b"RIFF....WEBPVP8X....\x02\0\0\0" + (19).to_bytes(3, "little") + (29).to_bytes(3, "little") + b"ANMF..ANMF"
+    # Two frames, in chunks of an odd size; what a frame holds is no chunk.
+    frame = b"ANMF" + (5).to_bytes(4, "little") + b"ANMF.\0"
+    extended = b"RIFF....WEBPVP8X" + (10).to_bytes(4, "little") + b"\x02\0\0\0" + (19).to_bytes(3, "little") + (29).to_bytes(3, "little") + 2 * frame
     assert image_size(png) == (7, 9, 1)
-    assert image_size(jpeg) == (6, 5, 1)
+    assert image_size(jpeg) == image_size(jpeg[:2] + b"\xff\xff" + jpeg[2:]) == (6, 5, 1)
     assert image_size(gif) == (3, 4, 2)
     assert image_size(lossless) == (11, 12, 1)
     assert image_size(extended) == (20, 30, 2)

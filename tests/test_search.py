@@ -32,7 +32,11 @@ def found(hits, query=1):
 def test_matching(spark, index):
     queries = S.queries_from(spark, ["cat", "cat the", "ELAN", "", None, "zebra"])
     hits = S.search(index, queries)
-    assert [found(hits, q) for q in range(1, 7)] == [[1, 2, 5], [1, 5], [3, 4], [], [], []]
+    assert [found(hits, q) for q in range(1, 7)] == [[1, 2, 5], [1, 5], [3, 4], [], [1, 2, 3, 4, 5, 6], []]
+    # Quoted words follow each other and match whole: no beginning of "cathedral", and none of the other order.
+    quoted = S.search(index, S.queries_from(spark, ['"of the"', '"the of"', '"the cat"', '"the mat"', None, "cat"]))
+    assert [found(quoted, q) for q in range(1, 7)] == [[5], [], [1, 5], [1, 5], [1, 2, 3, 4, 5, 6], [1, 2, 5]]
+    assert {r["score"] for r in quoted.where("query_id = 5").collect()} == {0.0}
     assert found(S.search(index, queries, prefix=False)) == [1, 5]
     assert found(S.search(index, queries, match_all=False), 2) == [1, 2, 4, 5]
     accents = S.queries_from(spark, ["élan"])
