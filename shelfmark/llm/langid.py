@@ -22,6 +22,8 @@ from shelfmark.session import stored
 # Bounds of the fit: labelled documents per language, and cells (contexts x symbols x languages) of the tables.
 SAMPLE = 400
 CELLS = 1 << 24
+# Rows looked at per row of the sample: as hashes spread evenly, the lowest ones are among these.
+SPARE = 2
 # Bytes that have symbols of their own: the most frequent ones. All others share the last symbol, in equal parts.
 SYMBOLS = 128
 ORDER = 3
@@ -78,10 +80,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE, cells: int = CELLS) -> Model | No
     """The model of rows (``doc_id``, ``lang``, ``text``): at most ``sample`` per language, chosen by a hash of the id.
 
     Rows without language, text or id teach nothing; without any row there is no model. Whole texts are counted.
+    A language's rows are counted first, so that only those whose hash is low enough for the sample are shuffled.
     """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id")
+    # One entry per language, as many as the model has.
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("lang", "n")))).scalar()
+    place = F.col("h") / F.lit(2.0**64) + 0.5
+    low = known.withColumn("__counts", counts).where(place * F.element_at("__counts", F.col("lang")) < SPARE * sample).drop("__counts")
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = known.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample).select("lang", "text")
+    chosen = low.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample).select("lang", "text")
     counted = stored(grams(chosen), "grams")
     languages = [row["lang"] for row in counted.select("lang").distinct().orderBy("lang").collect()]
     if not languages:
