@@ -229,10 +229,3 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: i
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(least, "root").select(F.col("fp").alias("point"), "component")
     return marked.join(named, marked["fp"] == named["point"]).select(key, "fp", "component")
-
-
-def survivors(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest key, and of its copies the first row."""
-    numbered = docs.withColumn("__at", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.monotonically_increasing_id().alias("row")))
-    chosen = groups(numbered, "__at", text).where(F.col("__at") == F.col("component")).select("__at")
-    return numbered.join(chosen, "__at", "left_semi").drop("__at")

@@ -295,3 +295,30 @@ def test_stages_follow_each_other(spark):
     assert source.count() >= sizes[0] > sizes[1] == sizes[2] > 0
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs_in, sf)
     assert pieces.agg(F.countDistinct("doc_id")).first()[0] == docs_in.select("doc_id").distinct().count()
+
+
+def test_near_copies_of_the_pipeline_are_those_of_brute_force(spark, docs):
+    rng = np.random.default_rng(11)
+    texts = [*ODD, *ODD]
+    for _ in range(60):
+        base = rng.integers(0, 10**6, int(rng.integers(20, 300)))
+        texts.append(" ".join(map(str, base)))
+        for _ in range(int(rng.integers(0, 5))):
+            near = base.copy()
+            near[rng.integers(0, len(base), max(1, len(base) // int(rng.integers(15, 120))))] += 1
+            texts.append(" ".join(map(str, near)))
+    sets = []
+    for text in texts:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    label = list(range(len(texts)))
+    near = 0
+    for b in range(len(texts)):
+        for a in range(b):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or 5 * both >= 4 * len(sets[a] | sets[b]):
+                near += sets[a] != sets[b]
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs(texts), "").collect())
+    assert near > 20 and got == sorted(set(label))
