@@ -322,3 +322,15 @@ def test_near_copies_of_the_pipeline_are_those_of_brute_force(spark, docs):
                 label = [low if x == high else x for x in label]
     got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs(texts), "").collect())
     assert near > 20 and got == sorted(set(label))
+
+
+def test_survivors_do_not_rest_on_how_a_scan_is_split(spark, tmp_path):
+    path, setting = str(tmp_path / "docs"), "spark.sql.files.maxPartitionBytes"
+    docs_of(spark, [(i, f"text number {i} of a few words", "x", "y", "z") for i in range(40)]).repartition(8).write.parquet(path)
+    kept = corpus_pipeline.copies.survivors(spark.read.parquet(path))
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, "100")
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
+    finally:
+        spark.conf.set(setting, before)
