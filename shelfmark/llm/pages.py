@@ -2,8 +2,9 @@
 
 A page is cut into lines, one per block of markup. Each page is paired with the pages before and after it in order of
 address within its host; lines are aligned by longest common subsequence, and lines shared with either of them are
-deleted: what pages of a host have in common is menus, notices and the like. What the markup itself names as such
-is no line at all, and what it names as the article is never deleted, so that copied articles stay whole.
+deleted: what pages of a host have in common is menus, notices and the like. Markup is a vote beside the alignment:
+lines that it names as such things are deleted, too, and lines that it names as the article are never deleted, so that
+copied articles stay whole.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.texts import as_bytes, slices, with_row
@@ -32,9 +33,13 @@ MARKS = regex.compile(
     r"breadcrumbs?|sidebar|footer|masthead|comments?|disqus|replies|respond|share|sharing|social|related|widget|toolbar|skip)(?:$|[\s_-])"
 )
 MAIN = frozenset(("article", "main"))
+# How an element is left out: by words of its class or id, or by what it is.
+NAMED, FIRM = 1, 2
 # Headers outside an article; inside, they hold its title and stay.
 HEADER = regex.compile(r"(?:^|[\s_-])header(?:$|[\s_-])")
 SPACE = regex.compile(r"\s+")
+# Addresses per range from which the bounds of ranges are taken.
+PER_RANGE = 100
 
 
 class Lines(HTMLParser):
@@ -42,12 +47,12 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []
+        self.open: list[tuple[str, int, bool]] = []
         self.lines: list[tuple[str, bool]] = []
         self.held: list[str] = []
 
-    def _state(self) -> tuple[bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False)
+    def _state(self) -> tuple[int, bool]:
+        return self.open[-1][1:] if self.open else (0, False)
 
     def _break(self) -> None:
         text = SPACE.sub(" ", "".join(self.held)).strip()
@@ -70,8 +75,12 @@ class Lines(HTMLParser):
         labels = [named.get(k, "") for k in ("class", "id")] if tag not in ("html", "body", "main") else []
         marked = any(MARKS.search(x) for x in labels) or (not main and (tag == "header" or any(map(HEADER.search, labels))))
         hidden = "hidden" in named or named.get("aria-hidden") == "true"
-        out = left_out or tag in LEFT_OUT or named.get("role") in ROLES or marked or hidden
-        self.open.append((tag, out, inside))
+        own = tag in LEFT_OUT or named.get("role") in ROLES or marked or hidden
+        # An article inside an element that only a name marks is left to the alignment: layouts are named after their parts.
+        if left_out == NAMED and not own and (tag in MAIN or named.get("role") in MAIN):
+            left_out, inside = 0, False
+        unnamed = tag in LEFT_OUT or named.get("role") in ROLES or hidden
+        self.open.append((tag, max(left_out, FIRM if unnamed else NAMED if own else 0), inside))
 
     def handle_startendtag(self, tag, attrs):
         # HTML knows no empty form of other elements: the stroke means nothing.
@@ -155,18 +164,16 @@ def _sizes(a: list[str], b: list[str]) -> list[int]:
 
 
 def main_text(lines: list[tuple[str, bool]], others: list[list[tuple[str, bool]]]) -> str:
-    """Lines of the article, or, on a page that names none, those that no other page shares.
+    """Lines that no other page shares, and all lines of the article.
 
     A neighbour with just the same lines is a copy and tells nothing.
     """
-    if any(main for _, main in lines):
-        return "\n".join(text for text, main in lines if main)
     texts = [text for text, _ in lines]
     drop: set[int] = set()
     for other in others:
         if (theirs := [text for text, _ in other]) != texts:
             drop |= shared(texts, theirs)
-    return "\n".join(text for i, text in enumerate(texts) if i not in drop)
+    return "\n".join(text for i, (text, article) in enumerate(lines) if article or i not in drop)
 
 
 def placed(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -179,23 +186,45 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", carry: list[
     """``carry`` columns (all but ``html``) and ``text``, the main text, for every page.
 
     Pages are dealt by ranges of (host, path, row) and read in that order, so that a large host spreads over many
-    tasks; each page meets the one before and the one after it in its host. At the edge of a range a page has one
-    neighbour, and an only page of a host has none: nothing of it is deleted. Null and empty pages have an empty
+    tasks; the first and last page of a range go to the ranges beside it, too, so that each page meets the one before
+    and the one after it in its host. Of an only page of a host nothing is deleted. Null and empty pages have an empty
     text. Pages that share an address are neighbours like others. Columns named ``text`` are replaced; an empty
     table gives an empty result.
     """
     carry = [c for c in pages.columns if c not in (html, "text")] if carry is None else carry
     fields = [pages.schema[c] for c in carry]
-    rows = placed(with_row(pages, "__row"), url).select("__host", "__path", "__row", *[F.col(f"`{c}`") for c in carry], F.col(html).cast("string").alias("__html"))
+    spark = pages.sparkSession
+    numbered = placed(with_row(pages, "__row"), url)
+    key = F.struct("__host", "__path", "__row")
+    names = numbered.select(key.alias("key"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Bounds from a bounded number of addresses; the bounds, and the first and last address per range, are few.
+    sample = [r["key"] for r in names.orderBy(F.xxhash64("key")).limit(PER_RANGE * ranges).collect()]
+    sample.sort()
+    bounds = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
+    place = _place(bounds, key)
+    edges = names.groupBy(_place(bounds, F.col("key")).alias("range")).agg(F.min("key").alias("first"), F.max("key").alias("last")).orderBy("range").collect()
+    copies: dict[tuple, list[int]] = {}
+    for left, right in zip(edges, edges[1:]):
+        # Pages beside each other, whatever empty ranges lie between.
+        copies.setdefault(tuple(left["last"]), []).append(right["range"])
+        copies.setdefault(tuple(right["first"]), []).append(left["range"])
+    guests = spark.createDataFrame([(*k, v) for k, v in copies.items()], "__host string, __path string, __row bigint, __to array<int>")
+    rows = numbered.select("__host", "__path", "__row", place.alias("__own"), *[F.col(f"`{c}`") for c in carry], F.col(html).cast("string").alias("__html"))
+    # At most two rows per range.
+    sent = rows.join(F.broadcast(guests), ["__host", "__path", "__row"], "left")
+    none = F.array().cast("array<int>")
+    dealt = sent.withColumn("__range", F.explode(F.concat(F.array("__own"), F.coalesce("__to", none)))).drop("__to")
 
     def run(batches):
-        # The last two pages read: (host, lines, batch, place); what comes next completes the second one.
+        # The last two pages read: (host, lines, batch, place, whether it is a guest); what comes next completes the second one.
         before = current = None
         done: list[tuple[pa.RecordBatch, int, str]] = []
 
         def finish(following):
-            near = [other[1] for other in (before, following) if other is not None and other[0] == current[0]]
-            done.append((current[2], current[3], main_text(current[1], near)))
+            if not current[4]:
+                near = [other[1] for other in (before, following) if other is not None and other[0] == current[0]]
+                done.append((current[2], current[3], main_text(current[1], near)))
 
         def flush():
             for first, last in _runs(done):
@@ -205,10 +234,12 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", carry: list[
             done.clear()
 
         for batch in slices(batches, "__html"):
-            hosts = batch.column("__host").to_pylist()
+            # Pages of several ranges may stand in one task: they are neighbours only within a range.
+            hosts = list(zip(batch.column("__range").to_pylist(), batch.column("__host").to_pylist()))
+            guest = [own != at for own, (at, _) in zip(batch.column("__own").to_pylist(), hosts)]
             kept = batch.select(carry) if carry else batch.select([])
             for at, value in enumerate(as_bytes(batch, "__html")):
-                page = (hosts[at], lines_of(value.decode() if value else ""), kept, at)
+                page = (hosts[at], lines_of(value.decode() if value else ""), kept, at, guest[at])
                 if current is not None:
                     finish(page)
                 before, current = current, page
@@ -218,8 +249,16 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", carry: list[
             yield from flush()
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["text string"])
-    order = ["__host", "__path", "__row"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
+    order = ["__range", "__host", "__path", "__row"]
+    return dealt.repartitionById(ranges, F.col("__range")).sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+def _place(bounds: list[tuple], key: Column) -> Column:
+    """Number of the range of a page: how many bounds its address reaches."""
+    if not bounds:
+        return F.lit(0)
+    held = F.array(*[F.struct(F.lit(host).alias("__host"), F.lit(path).alias("__path"), F.lit(row).cast("bigint").alias("__row")) for host, path, row in bounds])
+    return F.size(F.filter(held, lambda bound: bound <= key))
 
 
 def _runs(done: list[tuple]) -> list[tuple[int, int]]:

@@ -334,3 +334,12 @@ def test_survivors_do_not_rest_on_how_a_scan_is_split(spark, tmp_path):
         assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
     finally:
         spark.conf.set(setting, before)
+
+
+def test_alignment_decides_beside_the_markup(spark):
+    page = lambda n: f"<div>Every page has this</div><div>Body {n} in a div</div><article>Teaser {n}</article>"
+    assert main(page(1), page(2)) == "Body 1 in a div\nTeaser 1"
+    assert main("<div class='layout sidebar'><p>Menu</p><article>Text</article></div>") == "Text"
+    rows = [(i, f"http://h.example/{i:03}", f"<div>Menu of all</div><p>Text {i}</p>") for i in range(60)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id int, url string, html string").repartition(5)).collect()}
+    assert got == {i: f"Text {i}" for i in range(60)}
