@@ -343,3 +343,11 @@ def test_alignment_decides_beside_the_markup(spark):
     rows = [(i, f"http://h.example/{i:03}", f"<div>Menu of all</div><p>Text {i}</p>") for i in range(60)]
     got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id int, url string, html string").repartition(5)).collect()}
     assert got == {i: f"Text {i}" for i in range(60)}
+
+
+def test_registered_order_looks_at_three_words(spark, docs):
+    texts = ["a b c", "x b d", "a b c", "x b d", "a b d", "a b c"]
+    df = docs(texts)
+    got = {r.doc_id: r.score for r in katz.score(df, F.col("doc_id") > 3).collect()}
+    three, two = ({r.doc_id: r.score for r in katz.score(df, F.col("doc_id") > 3, order=n).collect()} for n in (3, 2))
+    assert got == three and got[5] != two[5] and got[5] - got[4] > two[5] - two[4]
