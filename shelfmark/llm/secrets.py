@@ -1,8 +1,9 @@
 """Secret scans with multipart linking, in native functions only.
 
 Strong spans are reported as found. Weak candidates (an identifier, a secret, an endpoint) are reported only
-where the parts that complete a credential stand within the same scope. The interval join is a range frame over
-positions: each part counts the parts of the other roles around it, so that no pairs are made.
+where the parts that complete a credential stand within the same scope: few code points lie between them, or they
+stand in the same block of settings. The interval join is a frame over positions: each part asks, where its scope ends,
+how far the parts of the other roles that started before reach, so that no pairs are made and no length is bounded.
 """
 
 from __future__ import annotations
@@ -25,8 +26,14 @@ WEAK = [
     ("endpoint", r"""[a-z][a-z0-9+]*://[^\x00-\x20"'<>]+""", []),
 ]
 KINDS = [kind for kind, *_ in BASE] + [kind for kind, *_ in WEAK]
-# Code points between the starts of parts that may belong to one credential.
+# Code points between the end of a part and the start of another that may belong to one credential.
 SCOPE = 200
+# A block of settings is a run of lines with a name, ":" or "=" and one value; this matches the lines between blocks.
+BETWEEN = (
+    r"""(?md)^(?![\x20\t]*(?:-[\x20\t]+)?["']?[A-Za-z_][A-Za-z0-9_.-]{0,63}["']?[\x20\t]*[:=](?!//)[\x20\t]*"""
+    r"""(?:"[^"\n]*+"|'[^'\n]*+'|[^\x20\t\r\n]*+)[,;]?[\x20\t]*(?:#.*)?\r?$).*(?:\n|\z)"""
+)
+LINE = len(KINDS)
 # Patterns that a scan may need on all texts start from a cheap one: a run that is long enough.
 LONG_HEX = r"[0-9a-f]{16,}"
 
@@ -46,7 +53,7 @@ def _matches(text: Column, kind: str, pattern: str, group: int, least: int, hold
         for part in holds:
             good = good & item["found"].rlike(part)
         return F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"), item["number"].alias("number"), item["before"].alias("before"),
+            F.lit(LINE if kind == "line" else KINDS.index(kind)).alias("kind"), item["number"].alias("number"), item["before"].alias("before"),
             F.length(item["found"]).alias("length"), good.alias("good"), F.lit(weak).alias("weak"),
         )
 
@@ -63,33 +70,53 @@ def parts_of(text: Column) -> Column:
     return F.concat(*[F.coalesce(found, none) for found in arrays])
 
 
+def with_lines(text: Column, parts: Column) -> Column:
+    """``parts`` and the lines between blocks of settings; those matter to texts with several parts only."""
+    several = F.size(F.filter(parts, lambda p: p["good"])) > 1
+    lines = F.when(several, _matches(text, "line", BETWEEN, 0, 0, [], False))
+    return F.when(lines.isNull(), parts).otherwise(F.concat(parts, lines))
+
+
 def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None, scope: int = SCOPE) -> DataFrame:
     """One row per document: ``carry`` columns and ``spans``, an array of (start, kind, end, weak) by start, then kind.
 
     ``kind`` is a number into KINDS, positions are code points, the end is exclusive. Null and empty texts have no
     spans. Of weak candidates only those that overlap no strong span are kept, and of these an identifier beside a
-    secret, a secret beside an identifier, an endpoint beside both. ``carry`` columns must be few and narrow: they
+    secret, a secret beside an identifier, an endpoint beside both: with at most ``scope`` code points between them, or
+    in one block of settings. ``carry`` columns must be few and narrow: they
     travel with the rows. An empty table gives an empty result; repeated rows are scanned one by one.
     """
     carry = ["doc_id"] if carry is None else carry
     kept = {f"__{i}": F.col(c) for i, c in enumerate(carry)}
-    rows = with_row(docs, "__row").select("__row", *[c.alias(n) for n, c in kept.items()], parts_of(F.col(text)).alias("__parts"))
+    rows = with_row(docs, "__row").select("__row", *[c.alias(n) for n, c in kept.items()], F.col(text).alias("__text"), parts_of(F.col(text)).alias("__found"))
+    rows = rows.select("__row", *kept, with_lines(F.col("__text"), F.col("__found")).alias("__parts"))
     parts = rows.select("__row", *kept, F.explode_outer("__parts").alias("part")).repartition("__row").select("__row", *kept, "part.*")
 
     run = Window.partitionBy("__row", "kind").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("before") + F.col("length")).over(run).cast("int")
     placed = parts.withColumn("end", end).withColumn("start", F.col("end") - F.col("length"))
     # Kinds by role; a match that fails its test keeps its place in the running sums but plays no part.
-    counts = F.coalesce(F.col("good"), F.lit(False))
+    counts = F.coalesce(F.col("good") & (F.col("kind") != LINE), F.lit(False))
     identifier = counts & F.col("kind").isin(KINDS.index("access"), KINDS.index("identifier"))
     secret = counts & F.col("kind").isin(KINDS.index("assign"), KINDS.index("hex"), KINDS.index("secret"))
     strong = counts & ~F.col("weak")
     by_start = Window.partitionBy("__row").orderBy("start")
     backwards = Window.partitionBy("__row").orderBy(F.desc("start"))
-    around = by_start.rangeBetween(-scope, scope)
-    linked = placed.withColumns(
+    # Each part is two rows: where it starts, and where its scope ends. Starts come first where both meet.
+    ends = F.array(F.struct(F.col("start").alias("at"), F.lit(0).alias("asks")), F.struct((F.col("end") + scope).alias("at"), F.lit(1).alias("asks")))
+    events = placed.withColumns({"line": F.col("kind") == LINE, "id": identifier, "secret": secret, "event": F.explode(ends)})
+    until = Window.partitionBy("__row").orderBy("event.at", "event.asks").rangeBetween(Window.unboundedPreceding, 0)
+    reach = lambda role: F.max(F.when(F.col(role) & (F.col("event.asks") == 0), F.col("end"))).over(until)
+    near = lambda role: F.coalesce(F.col(f"{role}_reach") >= F.col("start") - scope, F.lit(False))
+    asked = events.withColumns({"id_reach": reach("id"), "secret_reach": reach("secret")}).where("event.asks = 1")
+    # Blocks are numbered by the lines between them; a part on such a line is in none.
+    before = Window.partitionBy("__row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    lines = asked.withColumns({"block": F.sum(F.col("line").cast("int")).over(before), "line_end": F.max(F.when(F.col("line"), F.col("end"))).over(before)})
+    in_block = ~F.col("line") & (F.coalesce("line_end", F.lit(0)) <= F.col("start"))
+    block = Window.partitionBy("__row", "block", "in_block")
+    held = lambda role: F.col("in_block") & F.max(role).over(block)
+    linked = lines.withColumn("in_block", in_block).withColumns({"ids": near("id") | held("id"), "secrets": near("secret") | held("secret")}).withColumns(
         {
-            "ids": F.sum(identifier.cast("int")).over(around), "secrets": F.sum(secret.cast("int")).over(around),
             "strong_until": F.max(F.when(strong, F.col("end"))).over(by_start.rangeBetween(Window.unboundedPreceding, 0)),
             "strong_from": F.min(F.when(strong, F.col("start"))).over(backwards.rangeBetween(Window.unboundedPreceding, 0)),
         }
@@ -97,9 +124,9 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None, sc
     free = (F.coalesce("strong_until", F.lit(0)) <= F.col("start")) & (F.coalesce("strong_from", F.col("end")) >= F.col("end"))
     kind = F.col("kind")
     completed = (
-        F.when(kind == KINDS.index("identifier"), F.col("secrets") > 0)
-        .when(kind == KINDS.index("secret"), F.col("ids") > 0)
-        .otherwise((F.col("ids") > 0) & (F.col("secrets") > 0))
+        F.when(kind == KINDS.index("identifier"), F.col("secrets"))
+        .when(kind == KINDS.index("secret"), F.col("ids"))
+        .otherwise(F.col("ids") & F.col("secrets"))
     )
     reported = strong | (counts & F.col("weak") & free & completed)
     span = F.when(reported, F.struct("start", "kind", "end", "weak"))

@@ -351,3 +351,12 @@ def test_registered_order_looks_at_three_words(spark, docs):
     got = {r.doc_id: r.score for r in katz.score(df, F.col("doc_id") > 3).collect()}
     three, two = ({r.doc_id: r.score for r in katz.score(df, F.col("doc_id") > 3, order=n).collect()} for n in (3, 2))
     assert got == three and got[5] != two[5] and got[5] - got[4] > two[5] - two[4]
+
+
+def test_scopes_are_gaps_between_parts_and_blocks_of_settings(docs):
+    key, secret = "ABCD1234EFGH5678", "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0eF"
+    long, filler = secret * 9, "description: " + "x" * 300
+    texts = [f"{long} {key}", f"{key} {'x ' * 99}{secret}", f"{key} {'x ' * 101}{secret}", f"{long} {'x ' * 99}{key}"]
+    texts += [f"id: {key}\n{filler}\nvalue: {secret}\n", f"id: {key}\n\n{filler}\nvalue: {secret}", f"Note: it is {key}\n{filler}\nvalue: {secret}"]
+    got = {r.doc_id: [secrets.KINDS[s.kind] for s in r.spans] for r in secrets.scan(docs(texts)).collect()}
+    assert got == {0: ["secret", "identifier"], 1: ["identifier", "secret"], 2: [], 3: ["secret", "identifier"], 4: ["identifier", "secret"], 5: [], 6: []}
