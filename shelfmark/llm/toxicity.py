@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,18 +52,20 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 
 class Lookup(dict):
-    """Number of the feature that a raw word stands for, or -1; forgets when full."""
+    """Numbers of the features among the words of a raw token, each as often as it stands there; forgets when full."""
 
     def __init__(self, words: list[str]):
         super().__init__()
         self.words = {word: i for i, word in enumerate(words)}
+        self.kept = 0
 
-    def __missing__(self, raw: bytes) -> int:
-        if len(self) > MOST_KEPT:
+    def __missing__(self, raw: bytes) -> tuple[int, ...]:
+        found = tuple(self.words[word] for word in LETTERS.findall(raw.decode().lower()) if word in self.words)
+        # A text may be one token: tokens count by their size.
+        self.kept += 1 + len(raw) // 64
+        if self.kept > MOST_KEPT:
             self.clear()
-        found = -1
-        for word in LETTERS.findall(raw.decode().lower()):
-            found = max(found, self.words.get(word, -1))
+            self.kept = 1 + len(raw) // 64
         self[raw] = found
         return found
 
@@ -115,9 +118,7 @@ def _counted(batch: pa.RecordBatch, text: str, lookup: Lookup) -> list[Counter]:
     """Feature counts of each text of a batch."""
     result = []
     for value in as_bytes(batch, text):
-        hits = Counter(map(lookup.__getitem__, value.lower().split())) if value else Counter()
-        hits.pop(-1, None)
-        result.append(hits)
+        result.append(Counter(chain.from_iterable(map(lookup.__getitem__, value.lower().split()))) if value else Counter())
     return result
 
 

@@ -360,3 +360,13 @@ def test_scopes_are_gaps_between_parts_and_blocks_of_settings(docs):
     texts += [f"id: {key}\n{filler}\nvalue: {secret}\n", f"id: {key}\n\n{filler}\nvalue: {secret}", f"Note: it is {key}\n{filler}\nvalue: {secret}"]
     got = {r.doc_id: [secrets.KINDS[s.kind] for s in r.spans] for r in secrets.scan(docs(texts)).collect()}
     assert got == {0: ["secret", "identifier"], 1: ["identifier", "secret"], 2: [], 3: ["secret", "identifier"], 4: ["identifier", "secret"], 5: [], 6: []}
+
+
+def test_toxic_words_of_one_token_all_count(spark, docs):
+    texts = [f"plain talk number {i} about the weather" + (f" grob fies {i}" if i % 4 == 0 else "") for i in range(400)]
+    joined = [f"plain talk grob{x}fies" for x in (",", "/", "-", "\u00a0", "\u3000", "\u2014")]
+    df = docs(texts + joined)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id bigint, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(df, toxicity.fit(df, labels)).collect()}
+    assert all(got[i].toxic and got[i].score == pytest.approx(got[0].score) for i in range(400, 406))
+    assert toxicity.Lookup(["fies", "grob"])["grob,fies/grob".encode()] == (1, 0, 1)
