@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import collisions, katz, knn, langid, mixing, packing, pages, secrets, simhash, toxicity
+from shelfmark.llm import collisions, decontaminate, katz, knn, langid, mixing, negatives, packing, pages, secrets, simhash, toxicity, variants
+from shelfmark.llm.oracles import ORACLES  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +72,26 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = decontaminate.covered(F.col("ranges"))
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = negatives.hard_negatives(negatives.usable(rows.withColumn("label", moved)), F.col("vec_id") % 100 == 0)
+    return found.withColumn("rank", F.col("rank").cast("int"))
+
+
 QUERIES = {
     "op1_nearest_vectors": op1_nearest_vectors,
     "op2_katz_scores": op2_katz_scores,
@@ -82,6 +103,7 @@ QUERIES = {
     "op8_page_text": op8_page_text,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
+    "op11_contamination": op11_contamination,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-
-ORACLES: dict[str, str] = {}
