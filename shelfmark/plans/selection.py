@@ -25,25 +25,15 @@ def _(spark, sf):
 
 @query("selection_stream", f"WITH RECURSIVE {V.FOLDED} SELECT user_id, place, item_id FROM selected")
 def _(spark, sf):
-    schema = V.table(spark, sf, "events").schema
-    stored = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    events = stored.selectExpr(*_action_columns())
-    table = scratch_path(spark, "selection")
-    run = R.selection_stream(events, table, scratch_path(spark, "selection-checkpoint"))
+    # Three files with events of all days each: the second and third hold earlier events than the first has brought.
+    dealt, table = scratch_path(spark, "events"), scratch_path(spark, "selection")
+    V.actions(spark, sf).repartitionByRange(3, F.col("seq") % 3).write.parquet(dealt)
+    events = spark.readStream.schema(V.actions(spark, sf).schema).option("maxFilesPerTrigger", 1).parquet(dealt)
+    run = R.selection_stream(events, table, scratch_path(spark, "selection-checkpoint"), lateness="60 days")
     run.awaitTermination()
     return R.read_selection(spark, table)
 
 
-def _action_columns():
-    return [
-        "user_id", "ts", "event_id AS seq",
-        f"CASE event_type WHEN 'click' THEN '{O.TOGGLE}' WHEN 'view' THEN '{O.TOGGLE}' WHEN 'error' THEN '{O.RESET}' "
-        f"WHEN 'purchase' THEN '{O.SELECT_ALL}' ELSE 'SET_GRID_SCALE' END AS op",
-        "concat('i', event_id % 20) AS item_id",
-        "CASE WHEN event_type = 'purchase' THEN transform(sequence(0, 4), i -> concat('i', (event_id + 3 * i) % 20)) END AS items",
-    ]
-
-
 @query("selection_snapshot", """WITH w AS (
   SELECT user_id, CASE WHEN event_type = 'error' THEN NULL ELSE 'i' || event_id % 20 END AS item, ts, event_id FROM events)
 SELECT 'u' || user_id AS key, coalesce(arg_max(coalesce(item, ''), event_id), '') AS items FROM w GROUP BY user_id""")
@@ -97,15 +87,15 @@ def _(spark, sf):
     return terms.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "term")
 
 
-@query("settled_terms_stream")
+@query("settled_terms_stream", SETTLED)
 def _(spark, sf):
     schema = V.table(spark, sf, "events").schema
     stored = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     typed = stored.selectExpr("user_id", "ts", "event_id AS seq", "event_type AS term")
-    path = scratch_path(spark, "terms")
-    run = D.write_settled(D.settled_terms(typed, 30 * 60 * 1000), path, scratch_path(spark, "terms-checkpoint"))
-    run.awaitTermination()
-    return spark.read.schema("user_id bigint, ts timestamp, term string").parquet(path)
+    path, checkpoint = scratch_path(spark, "terms"), scratch_path(spark, "terms-checkpoint")
+    D.write_settled(D.settled_terms(typed, 30 * 60 * 1000), path, checkpoint).awaitTermination()
+    terms = D.read_settled(spark, path, checkpoint)
+    return terms.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "term")
 
 
 # ---- export -------------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,3 +30,14 @@ def write_settled(terms: DataFrame, path: str, checkpoint: str) -> StreamingQuer
         .trigger(availableNow=True)
         .start()
     )
+
+
+def open_terms(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(user_id, ts, term): the last keystroke so far of every burst that the stream has not ended yet, read from its state."""
+    return spark.read.format("statestore").load(checkpoint).select("value.user_id", "value.max.ts", "value.max.term")
+
+
+def read_settled(spark: SparkSession, path: str, checkpoint: str | None = None) -> DataFrame:
+    """What a stream has written; with its ``checkpoint`` also the bursts at its end, for a stream that goes on no further."""
+    written = spark.read.schema("user_id bigint, ts timestamp, term string").parquet(path)
+    return written if checkpoint is None else written.unionByName(open_terms(spark, checkpoint))

@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from shelfmark.operators import selection as O
 from shelfmark.streaming import selection as R
 from shelfmark.streaming import terms as D
@@ -64,22 +66,36 @@ def test_toggling_twice_changes_nothing(spark):
     assert collected(O.fold_selection(spark.createDataFrame(rows, SCHEMA))) == {1: ["a"]}
 
 
-def test_stream_in_batches_equals_the_batch(spark, tmp_path):
-    rows = sorted(events(240, 11), key=lambda r: (r[1], r[2]))
-    for i in range(4):
-        part = spark.createDataFrame(rows[i * 60 : (i + 1) * 60], SCHEMA).coalesce(1)
-        part.write.mode("append").parquet(str(tmp_path / "in"))
-    table, check = str(tmp_path / "state"), str(tmp_path / "check")
-    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    R.selection_stream(source, table, check, full_every=3).awaitTermination()
-    assert collected(R.read_selection(spark, table)) == fold(rows)
-    # A repeated batch replaces its own result.
-    R.apply_batch(spark.createDataFrame(rows[180:], SCHEMA), table, 3)
-    assert collected(R.read_selection(spark, table)) == fold(rows)
-    # What comes too late is dropped.
+def streamed(spark, folder, parts, **options):
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(SCHEMA).parquet(f"{folder}/in")
+        # Each run goes on from the state that the one before has left.
+        R.selection_stream(source, f"{folder}/state", f"{folder}/check", full_every=3, **options).awaitTermination()
+    return collected(R.read_selection(spark, f"{folder}/state"))
+
+
+def test_stream_in_any_order_equals_the_batch(spark, tmp_path):
+    rows = events(240, 11)
+    random.Random(3).shuffle(rows)
+    assert streamed(spark, str(tmp_path), [rows[i * 60 : (i + 1) * 60] for i in range(4)], lateness="1000 days") == fold(rows)
+
+
+def test_stream_settles_behind_the_watermark(spark, tmp_path):
+    rows = sorted(events(200, 12), key=lambda r: (r[1], r[2]))
+    cut = next(i for i in range(100, 200) if rows[i][1] > rows[i - 1][1])
     late = [(0, dt.datetime(2023, 1, 1), 10_000, O.RESET, None, None)]
-    R.apply_batch(spark.createDataFrame(late, SCHEMA), table, 4)
-    assert collected(R.read_selection(spark, table)) == fold(rows)
+    # With no lateness each run folds all events of the runs before into the state, and drops what is older.
+    assert streamed(spark, str(tmp_path), [rows[:cut], rows[cut:], late], lateness="0 seconds") == fold(rows)
+
+
+def test_stream_touches_only_the_keys_of_its_events(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    first = [(u, t, u, O.TOGGLE, "a", None) for u in range(5)]
+    streamed(spark, str(tmp_path), [first, [(3, t, 9, O.TOGGLE, "b", None)], [(3, t, 10, O.RESET, None, None)]])
+    per_batch = {r["batch_id"]: r["users"] for r in spark.read.parquet(f"{tmp_path}/state").where("NOT is_full").groupBy("batch_id").agg(F.collect_set("user_id").alias("users")).collect()}
+    assert sorted(map(sorted, per_batch.values()))[-1] == [3] and sorted(map(len, per_batch.values()))[-1] == 5
+    assert collected(R.read_selection(spark, f"{tmp_path}/state")) == {u: ["a"] for u in range(5) if u != 3}
 
 
 def test_snapshot(spark):

@@ -34,3 +34,5 @@ def test_settled_terms_stream(spark, tmp_path):
     source = spark.readStream.schema("user_id bigint, ts timestamp, seq bigint, term string").parquet(str(tmp_path / "in"))
     D.write_settled(D.settled_terms(source), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert sorted(r["term"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["cat", "dog"]
+    # The burst at the end stays in the state until it is asked for.
+    assert sorted(r["term"] for r in D.read_settled(spark, str(tmp_path / "out"), str(tmp_path / "check")).collect()) == ["cat", "dog", "end"]
