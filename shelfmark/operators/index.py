@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,23 +11,41 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import names as N
 from ..functions import text as T
+from ..session import scratch_path, stored
+from .skew import HOT_ROWS, rank_in_group
+
+# Postings in the first block of a term; each further block ends at so many times the place where the one before ends.
+FIRST_BLOCK, BLOCK_GROWTH = 128, 8
+# Ranges of terms, at least: a search reads the files of the ranges that hold its terms.
+LEAST_PARTS = 32
 
 
 @dataclass(frozen=True)
 class TextIndex:
     """Postings (lang, term, term_exact, doc_id, tf, positions, weight), documents, their lengths.
 
-    Lengths (lang, doc_id, n_terms) are a narrow table of their own: every search reads them all.
+    Lengths (lang, doc_id, n_terms) are a narrow table of their own. A stored index has ``terms``, its dictionary, too,
+    and ``blocks``: there postings name their term by ``term_id`` and carry the length of their document.
     """
 
     postings: DataFrame
     docs: DataFrame
     lengths: DataFrame
-    lengths_are_computed: bool = True
+    terms: DataFrame | None = None
+    blocks: DataFrame | None = None
 
     def in_language(self, lang: str) -> TextIndex:
-        parts = [part.where(F.col("lang") == lang) for part in (self.postings, self.docs, self.lengths)]
-        return TextIndex(*parts, self.lengths_are_computed)
+        tables = [getattr(self, f.name) for f in fields(self)]
+        return TextIndex(*[table if table is None else table.where(F.col("lang") == lang) for table in tables])
+
+    @cached_property
+    def stored(self) -> TextIndex:
+        """This index as tables: itself, or written once to the shared folder on the first search."""
+        if self.terms is not None:
+            return self
+        path = scratch_path(self.docs.sparkSession, "index")
+        write_index(self, path)
+        return read_index(self.docs.sparkSession, path)
 
 
 def index_documents(catalog: DataFrame) -> DataFrame:
@@ -117,21 +136,58 @@ def build_index(docs: DataFrame, kept: list[str] | None = None) -> TextIndex:
     return TextIndex(build_postings(docs, kept), docs, document_lengths(docs))
 
 
-def write_index(index: TextIndex, path: str, term_files: int | None = None) -> None:
-    """Store an index so that a search reads only the row groups that hold its terms."""
-    by_term = index.postings.repartitionByRange(*([term_files] if term_files else []), "lang", "term", "doc_id")
-    by_term.sortWithinPartitions("lang", "term", "doc_id").write.mode("overwrite").partitionBy("lang").parquet(
-        f"{path}/postings"
+def dictionary(postings: DataFrame, parts: int | None = None) -> DataFrame:
+    """(lang, term, term_exact, term_id, part, doc_frequency, occurrences): every spelling of a term once.
+
+    Numbers follow the order of language, term and spelling, so terms with a common beginning have numbers in a row;
+    ``part`` is the range of terms a number belongs to. To be stored before it is used: numbers are given as it is read.
+    """
+    parts = parts or max(LEAST_PARTS, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spelled = postings.groupBy("lang", "term", "term_exact").agg(F.count(F.lit(1)).alias("doc_frequency"), F.sum("tf").alias("occurrences"))
+    in_order = spelled.repartitionByRange(parts, "lang", "term", "term_exact").sortWithinPartitions("lang", "term", "term_exact")
+    numbered = in_order.withColumn("term_id", F.monotonically_increasing_id())
+    return numbered.withColumn("part", F.shiftright("term_id", 33).cast("int"))
+
+
+def block_number(place: Column) -> Column:
+    """The block of a posting by its place in its term, from 1: 0 up to FIRST_BLOCK, then ever longer ones."""
+    beyond = F.floor(F.log(float(BLOCK_GROWTH), (place - 1) / FIRST_BLOCK) + F.lit(1e-9)) + 1
+    return F.when(place <= FIRST_BLOCK, 0).otherwise(beyond).cast("int")
+
+
+def write_index(index: TextIndex, path: str, parts: int | None = None, hot_rows: int = HOT_ROWS) -> None:
+    """Store an index so that a search reads only the files of the ranges, and blocks, that can matter to it.
+
+    A term's postings stand in the order of their impact, what they can add to a score: many occurrences in a short
+    document first. Its blocks hold the highest number of occurrences and the shortest document of their postings.
+    """
+    tables = {"docs": index.docs, "lengths": index.lengths}
+    for name, table in tables.items():
+        table.write.mode("overwrite").partitionBy("lang").parquet(f"{path}/{name}")
+    spark = index.docs.sparkSession
+    postings = stored(index.postings, "postings")
+    dictionary(postings, parts).write.mode("overwrite").partitionBy("lang").parquet(f"{path}/terms")
+    terms = spark.read.parquet(f"{path}/terms")
+    lengths = spark.read.parquet(f"{path}/lengths").select("doc_id", "n_terms")
+    numbered = postings.join(terms.select("lang", "term", "term_exact", "term_id", "part"), ["lang", "term", "term_exact"])
+    average = spark.read.parquet(f"{path}/lengths").agg(F.avg("n_terms")).scalar()
+    strength = F.col("tf") * F.col("weight")
+    # The default ranking's saturation; any order gives the same results, this one the tightest blocks.
+    impact = strength / (strength + 1.2 * (0.25 + 0.75 * F.col("n_terms") / F.col("average")))
+    measured = numbered.drop("term", "term_exact").join(lengths, "doc_id").withColumn("average", average).withColumn("impact", impact).drop("average")
+    ranked = rank_in_group(measured, ["term_id"], [("impact", False), ("doc_id", True)], "place", hot_rows)
+    blocked = ranked.withColumn("block", block_number(F.col("place"))).drop("impact", "place")
+    by_term = blocked.repartitionByRange("part", "block", "term_id", "doc_id").sortWithinPartitions("lang", "part", "block", "term_id", "doc_id")
+    by_term.write.mode("overwrite").partitionBy("lang", "part", "block").parquet(f"{path}/postings")
+    written = spark.read.parquet(f"{path}/postings")
+    bounds = written.groupBy("lang", "part", "term_id", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.max(strength).alias("most"), F.min("n_terms").alias("shortest")
     )
-    index.docs.write.mode("overwrite").partitionBy("lang").parquet(f"{path}/docs")
-    index.lengths.write.mode("overwrite").partitionBy("lang").parquet(f"{path}/lengths")
-    written = index.postings.sparkSession.read.parquet(f"{path}/postings")
-    term_statistics(written).write.mode("overwrite").partitionBy("lang").parquet(f"{path}/terms")
+    bounds.write.mode("overwrite").partitionBy("lang").parquet(f"{path}/blocks")
 
 
 def read_index(spark: SparkSession, path: str) -> TextIndex:
-    parts = [spark.read.parquet(f"{path}/{part}") for part in ("postings", "docs", "lengths")]
-    return TextIndex(*parts, lengths_are_computed=False)
+    return TextIndex(*[spark.read.parquet(f"{path}/{table}") for table in ("postings", "docs", "lengths", "terms", "blocks")])
 
 
 def term_statistics(postings: DataFrame) -> DataFrame:

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..session import stored
 from .index import TextIndex
-from .skew import HOT_ROWS, any_of, distinct_lengths, length_array, pin_small, rank_in_group
+from .skew import HOT_ROWS, any_of, rank_in_group
 
-# Distinct query words up to this number are pushed into the postings scan as a filter.
-PUSHED_WORDS = 200
+# Below the bar of a top-k search, scores differ by more than rounding.
+SLACK = 1e-6
+# A search for the best hits sets its bar from the blocks up to this number.
+BAR_BLOCKS = 1
 
 
 @dataclass(frozen=True)
@@ -71,67 +73,85 @@ def query_words(queries: DataFrame, distinct: bool = True, kept: list[str] | Non
     return words.select("query_id", "n_words", "place", "pair.word", "pair.word_exact").where("word <> ''")
 
 
-def match_words(
-    index: TextIndex, words: DataFrame, prefix: bool = True, exact_diacritics: bool = False
-) -> DataFrame:
-    """Postings that match query words, each word by equality or as the beginning of a term.
+def match_terms(index: TextIndex, words: DataFrame, prefix: bool = True, exact_diacritics: bool = False) -> DataFrame:
+    """The terms of the dictionary that match query words, each word by equality or as the beginning of a term.
 
-    Adds length_bonus = length of word / length of term, and same_accents. A term is cut to the
-    lengths the query words have, so that beginning-of-term matching stays an equi-join.
+    Adds term_id, part, doc_frequency, length_bonus = length of word / length of term, and same_accents. Beginnings meet
+    in joins on the first one, two or three characters, as many as the word has; longer ones are compared behind it.
     """
     word_side, term_side = ("word_exact", "term_exact") if exact_diacritics else ("word", "term")
-    postings, term = index.postings, F.col(term_side)
-    pinned = pin_small(words)
-    if pinned is not None:
-        wanted = sorted({row[word_side] for row in pinned.select(word_side).collect()})
-        if not wanted:
-            return _matches(postings.where(F.lit(False)).withColumn("__key", term), words, word_side)
-        if len(wanted) <= PUSHED_WORDS:
-            # Reaches the scan of a stored index and, for postings built on the fly, the words
-            # before they are grouped.
-            keep = any_of([term.startswith(w) for w in wanted]) if prefix else term.isin(wanted)
-            postings = postings.where(keep)
-        right = F.broadcast(pinned)
-    else:
-        right = words
+    terms = index.stored.terms.select("term", "term_exact", "term_id", "part", "doc_frequency")
     if not prefix:
-        keyed = postings.withColumn("__key", term)
+        joined = terms.withColumn("__key", F.col(term_side)).join(words.withColumn("__key", F.col(word_side)), "__key")
     else:
-        lengths = length_array(distinct_lengths(right, word_side))
-        fitting = F.filter(lengths, lambda n: n <= F.length(term))
-        keyed = postings.withColumn("__key", F.explode(F.transform(fitting, lambda n: F.substring(term, F.lit(1), n))))
-    return _matches(keyed, right, word_side)
-
-
-def _matches(keyed: DataFrame, words: DataFrame, word_side: str) -> DataFrame:
-    joined = keyed.join(words.withColumn("__key", F.col(word_side)), "__key").drop("__key")
-    return joined.withColumn("length_bonus", F.length("word") / F.length("term")).withColumn(
+        joined = None
+        for n in (1, 2, 3):
+            own = words.where(F.length(word_side) == n if n < 3 else F.length(word_side) >= n)
+            begun = terms.withColumn("__key", F.substring(term_side, 1, n)).join(own.withColumn("__key", F.substring(word_side, 1, n)), "__key")
+            begun = begun.where(F.col(term_side).startswith(F.col(word_side)))
+            joined = begun if joined is None else joined.unionByName(begun)
+    return joined.drop("__key").withColumn("length_bonus", F.length("word") / F.length("term")).withColumn(
         "same_accents", F.col("term_exact").startswith(F.col("word_exact"))
     )
 
 
+def in_parts(table: DataFrame, found: DataFrame, blocks: bool = False) -> DataFrame:
+    """``table`` cut to the folders that hold terms of ``found``: a list as long as there are folders, at most."""
+    names = ["part", "block"] if blocks else ["part"]
+    parts = found.select(*names).distinct().collect()
+    if not blocks:
+        return table.where(F.col("part").isin([row["part"] for row in parts]))
+    held = {block: [row["part"] for row in parts if row["block"] == block] for block in {row["block"] for row in parts}}
+    return table.where(any_of([(F.col("block") == block) & F.col("part").isin(own) for block, own in sorted(held.items())]))
+
+
+def match_words(
+    index: TextIndex, words: DataFrame, prefix: bool = True, exact_diacritics: bool = False, whole_phrases: bool = False
+) -> DataFrame:
+    """Postings that match query words: the dictionary says which terms they are, and only their folders are read.
+
+    With ``whole_phrases``, words marked as ``quoted`` match whole terms only.
+    """
+    found = match_terms(index, words, prefix, exact_diacritics)
+    if whole_phrases:
+        found = found.where(~F.col("quoted") | (F.col("word_exact") == F.col("term_exact") if exact_diacritics else F.col("word") == F.col("term")))
+    return postings_of(index, stored(found, "matched-terms"))
+
+
+def postings_of(index: TextIndex, found: DataFrame) -> DataFrame:
+    return in_parts(index.stored.postings, found).drop("part", "block").join(found.drop("part"), "term_id")
+
+
 def score_words(index: TextIndex, matches: DataFrame, ranking: Ranking = Ranking()) -> DataFrame:
     """BM25 with its parts, one row per query, word and document."""
-    similarity = F.pow("length_bonus", F.lit(ranking.term_similarity))
-    accents = F.when(F.col("same_accents"), F.lit(1.0)).otherwise(F.lit(ranking.diacritic_similarity))
-    strength = F.col("weight") * similarity * accents
+    # The places of words are not needed here: they join the hits that are shown.
     per_word = matches.groupBy("query_id", "word", "n_words", "doc_id").agg(
         F.sum("tf").alias("raw_tf"),
-        F.sum(F.col("tf") * strength).alias("weighted_term_frequency"),
+        F.sum(F.col("tf") * strength_of(ranking)).alias("weighted_term_frequency"),
         F.max("length_bonus").alias("length_bonus"),
-        F.collect_list(F.struct("positions", strength.alias("strength"))).alias("places"),
+        F.first("n_terms").alias("document_length"),
     )
-    # Counting documents and scoring them both read these rows: stored, they cost one pass over
-    # the postings, which may be built on the fly from the texts.
+    # Counting documents and scoring them both read these rows.
     per_word = stored(per_word, "word-matches")
     frequency = per_word.groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("pages_containing_term"))
-    # Only narrow columns are kept, so storing them pays off against measuring all texts twice.
-    measured = stored(index.lengths, "lengths") if index.lengths_are_computed else index.lengths
-    corpus = measured.agg(
+    return bm25(index, per_word.join(frequency, ["query_id", "word"]), ranking)
+
+
+def strength_of(ranking: Ranking) -> Column:
+    """What an occurrence of a matched term counts."""
+    accents = F.when(F.col("same_accents"), F.lit(1.0)).otherwise(F.lit(ranking.diacritic_similarity))
+    return F.col("weight") * F.pow("length_bonus", F.lit(ranking.term_similarity)) * accents
+
+
+def corpus_size(index: TextIndex) -> Column:
+    """How many documents there are and how long they are on average, as one value."""
+    return index.stored.lengths.agg(
         F.struct(F.count(F.lit(1)).alias("total_pages"), F.avg("n_terms").alias("average_page_length"))
     ).scalar()
-    lengths = measured.select("doc_id", F.col("n_terms").alias("document_length"))
-    rows = per_word.join(frequency, ["query_id", "word"]).join(lengths, "doc_id").withColumn("__corpus", corpus)
+
+
+def bm25(index: TextIndex, rows: DataFrame, ranking: Ranking) -> DataFrame:
+    rows = rows.withColumn("__corpus", corpus_size(index))
     rows = rows.select(
         "*", F.col("__corpus.total_pages").alias("total_pages"),
         F.col("__corpus.average_page_length").alias("average_page_length"),
@@ -149,28 +169,26 @@ def score_words(index: TextIndex, matches: DataFrame, ranking: Ranking = Ranking
 
 
 def combine_words(scored: DataFrame, match_all: bool = True) -> DataFrame:
-    """Hits per query and document: score, word locations and their weights.
-
-    ``match_all`` keeps documents that hold every word of the query.
-    """
-    spots = F.flatten(
-        F.transform(
-            "places",
-            lambda p: F.transform(
-                p["positions"],
-                lambda at: F.struct(at.alias("location"), p["strength"].alias("balanced_score")),
-            ),
-        )
-    )
+    """Hits per query and document with their score. ``match_all`` keeps documents that hold every word of the query."""
     hits = scored.groupBy("query_id", "doc_id", "n_words").agg(
         # Rounded, so that copies of a text tie whatever order their parts were added in.
         F.round(F.sum("score"), 9).alias("score"),
         F.count(F.lit(1)).alias("words_found"),
-        F.sort_array(F.flatten(F.collect_list(spots))).alias("weighted_locations"),
     )
     return hits.where("words_found = n_words") if match_all else hits
 
 
+def with_locations(hits: DataFrame, matches: DataFrame, ranking: Ranking = Ranking()) -> DataFrame:
+    """Hits with weighted_locations, the places of the words they matched: read for these hits alone."""
+    spots = F.transform("positions", lambda at: F.struct(at.alias("location"), F.col("strength").alias("balanced_score")))
+    placed = matches.select("query_id", "doc_id", strength_of(ranking).alias("strength"), "positions")
+    placed = placed.join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+    located = placed.groupBy("query_id", "doc_id").agg(F.sort_array(F.flatten(F.collect_list(spots))).alias("weighted_locations"))
+    return hits.join(located, ["query_id", "doc_id"], "left").withColumn(
+        "weighted_locations", F.coalesce("weighted_locations", F.array().cast(located.schema["weighted_locations"].dataType))
+    )
+
+
 def search(
     index: TextIndex,
     queries: DataFrame,
@@ -178,30 +196,28 @@ def search(
     prefix: bool = True,
     match_all: bool = True,
     exact_diacritics: bool = False,
+    locations: bool = True,
 ) -> DataFrame:
-    """Hits (query_id, doc_id, score, weighted_locations) of every query.
+    """Hits (query_id, doc_id, score, weighted_locations) of every query; without ``locations``, the first three alone.
 
     A quoted term hits documents in which its words follow each other, each matched whole. A blank term
     has no hits here; a null term is a filter-only search and hits every document with score zero.
     """
     words = query_words(queries.where("term is not null"))
-    matches = match_words(index, words, prefix, exact_diacritics)
     quoted = queries.where(is_phrase(F.col("term")))
     phrased = not quoted.isEmpty()
     if phrased:
-        marks = quoted.select("query_id").distinct().withColumn("__quoted", F.lit(True))
-        whole = F.col("word_exact") == F.col("term_exact") if exact_diacritics else F.col("word") == F.col("term")
-        matches = matches.join(marks, "query_id", "left").where(F.col("__quoted").isNull() | whole).drop("__quoted")
+        marks = quoted.select("query_id").distinct().withColumn("quoted", F.lit(True))
+        words = words.join(marks, "query_id", "left").withColumn("quoted", F.coalesce("quoted", F.lit(False)))
+    matches = match_words(index, words, prefix, exact_diacritics, whole_phrases=phrased)
     scored = score_words(index, matches, ranking)
     hits = combine_words(scored, match_all)
     if phrased:
-        # The stored matches hold the positions already: no second pass over the postings.
-        held = scored.join(query_words(quoted, distinct=False).select("query_id", "word", "place", F.col("n_words").alias("n_placed")), ["query_id", "word"])
-        positions = F.flatten(F.transform("places", lambda p: p["positions"]))
-        runs = phrase_starts(held.select("query_id", F.col("n_placed").alias("n_words"), "doc_id", "place", positions.alias("positions")))
-        runs = runs.select("query_id", "doc_id").distinct().withColumn("__run", F.lit(True))
-        hits = hits.join(marks, "query_id", "left").join(runs, ["query_id", "doc_id"], "left").where("__quoted IS NULL OR __run")
-    hits = hits.select("query_id", "doc_id", "score", "weighted_locations")
+        placed = query_words(quoted, distinct=False).select("query_id", "word", "word_exact", "place", F.col("n_words").alias("n_placed"))
+        held = matches.where("quoted").select("query_id", "word", "word_exact", "doc_id", "positions").join(placed, ["query_id", "word", "word_exact"])
+        runs = phrase_starts(held.withColumnRenamed("n_placed", "n_words")).select("query_id", "doc_id").distinct().withColumn("__run", F.lit(True))
+        hits = hits.join(marks, "query_id", "left").join(runs, ["query_id", "doc_id"], "left").where("quoted IS NULL OR __run")
+    hits = hits.select("query_id", "doc_id", "score")
     if ranking.meta_weights:
         hits = boost_by_meta(index, hits, words, scored, ranking.meta_weights)
     unworded = queries.where("term is null")
@@ -209,11 +225,10 @@ def search(
         # One short list: the numbers of the queries without a term.
         numbers = unworded.agg(F.collect_set("query_id")).scalar()
         every = index.docs.select("doc_id").withColumn("__numbers", numbers).select(
-            F.explode("__numbers").alias("query_id"), "doc_id", F.lit(0.0).alias("score"),
-            F.array().cast(hits.schema["weighted_locations"].dataType).alias("weighted_locations"),
+            F.explode("__numbers").alias("query_id"), "doc_id", F.lit(0.0).alias("score")
         )
         hits = hits.unionByName(every)
-    return hits
+    return with_locations(hits, matches, ranking) if locations else hits
 
 
 def boost_by_meta(
@@ -349,10 +364,72 @@ def page_hits(hits: DataFrame, page: int = 1, page_size: int = 5, max_results: i
     return top_hits(hits, shown if max_results is None else min(shown, max_results))
 
 
+def bounded_blocks(index: TextIndex, words: DataFrame, found: DataFrame, ranking: Ranking) -> DataFrame:
+    """The blocks of the terms ``found`` with ``bound``, the most that their word can add to a score by a document in them,
+    and ``others``, the most that the query's other words can.
+
+    A word may match several terms: a document in this block may hold all of them as often as any document does.
+    """
+    blocks = in_parts(index.stored.blocks, found).select("term_id", "part", "block", "n", "most", "shortest")
+    matched = blocks.join(found.drop("part"), "term_id").withColumn("weight", F.lit(1.0))
+    matched = matched.withColumn("__strength", F.col("most") * strength_of(ranking))
+    per_term = matched.groupBy("query_id", "word", "term_id").agg(F.max("__strength").alias("__top"))
+    per_word = per_term.groupBy("query_id", "word").agg(F.sum("__top").alias("__sum"))
+    rows = matched.join(per_term, ["query_id", "word", "term_id"]).join(per_word, ["query_id", "word"])
+    rows = rows.withColumn("weighted_term_frequency", F.col("__sum") - F.col("__top") + F.col("__strength"))
+    rows = rows.withColumnRenamed("shortest", "document_length").join(words, ["query_id", "word"])
+    bounded = bm25(index, rows, ranking).withColumnRenamed("score", "bound")
+    tops = bounded.groupBy("query_id", "word").agg(F.max("bound").alias("__top"))
+    total = tops.groupBy("query_id").agg(F.sum("__top").alias("__total"))
+    return bounded.select("query_id", "word", "n_words", "term_id", "part", "block", "n", "bound").join(tops, ["query_id", "word"]).join(
+        total, "query_id"
+    ).withColumn("others", F.col("__total") - F.col("__top")).drop("__top", "__total")
+
+
+def best_hits(
+    index: TextIndex, queries: DataFrame, limit: int, ranking: Ranking = Ranking(), prefix: bool = True, skipped: Callable[[DataFrame], None] | None = None
+) -> DataFrame:
+    """(query_id, doc_id, score, rank): the ``limit`` best hits that ``search`` has for each query, by bounds of blocks.
+
+    A first pass scores what the first blocks of the words' terms hold; the ``limit``-th of those scores is the bar. A block
+    is read in the second pass only if a document in it can reach the bar with all other words at their most. Quoted
+    and missing terms take the whole way. ``skipped`` is shown the bounded blocks with the bar (``read``: whether it is).
+    """
+    plain = queries.where(F.col("term").isNotNull() & ~is_phrase(F.col("term")))
+    found = stored(match_terms(index, query_words(plain), prefix), "matched-terms")
+    # How many documents hold a word: of one term, the dictionary knows; of several, their document numbers are counted.
+    several = found.groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("n"), F.max("doc_frequency").alias("df"))
+    many = found.join(several.where("n > 1").select("query_id", "word"), ["query_id", "word"], "left_semi")
+    counted = postings_of(index, many.select("query_id", "word", "term_id", "part")).groupBy("query_id", "word").agg(F.countDistinct("doc_id").alias("pages"))
+    words = several.join(counted, ["query_id", "word"], "left").select("query_id", "word", F.coalesce("pages", "df").alias("pages_containing_term"))
+    words = stored(words, "word-frequencies")
+    blocks = stored(bounded_blocks(index, words, found, ranking), "bounds")
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        chosen = chosen.select("query_id", "word", "term_id", "part", "block").distinct()
+        rows = in_parts(index.stored.postings, chosen, blocks=True).select("term_id", "block", "doc_id", "tf", "weight", "n_terms")
+        matched = rows.join(chosen.drop("part"), ["term_id", "block"]).join(found.drop("part"), ["query_id", "word", "term_id"])
+        per_word = matched.groupBy("query_id", "word", "n_words", "doc_id").agg(
+            F.sum(F.col("tf") * strength_of(ranking)).alias("weighted_term_frequency"), F.first("n_terms").alias("document_length")
+        )
+        return combine_words(bm25(index, per_word.join(words, ["query_id", "word"]), ranking)).select("query_id", "doc_id", "score")
+
+    # What the first blocks hold of a document is the least it can score.
+    first = top_hits(scored(blocks.where(F.col("block") <= BAR_BLOCKS)), limit).where(F.col("rank") == limit)
+    bars = first.select("query_id", (F.col("score") - SLACK).alias("bar"))
+    held = stored(blocks.join(bars, "query_id", "left").withColumn("read", F.col("bar").isNull() | (F.col("bound") + F.col("others") >= F.col("bar"))), "barred")
+    if skipped is not None:
+        skipped(held)
+    hits = scored(held.where("read"))
+    rest = queries.where(F.col("term").isNull() | is_phrase(F.col("term")))
+    if not rest.isEmpty():
+        hits = hits.unionByName(search(index, rest, ranking, prefix, locations=False))
+    return top_hits(hits, limit)
+
+
 def full_text_topk(index: TextIndex, queries: DataFrame, limit: int = 50) -> DataFrame:
     """Text, address and score of the best documents; wide columns join only after the cut."""
-    best = top_hits(search(index, queries), limit)
-    return best.join(index.docs.select("doc_id", "url", F.col("content").alias("text")), "doc_id")
+    return best_hits(index, queries, limit).join(index.docs.select("doc_id", "url", F.col("content").alias("text")), "doc_id")
 
 
 # ---- around a search ----------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -24,6 +25,25 @@ def _queries(spark):
     return S.queries_from(spark, TERMS)
 
 
+# Where the index of a corpus is stored, by application and folder of the tables.
+_PATHS: dict[tuple[str, str, str], str] = {}
+
+
+def _index(spark, sf, corpus=V.corpus):
+    """The stored index of a corpus: written by the first query that asks for it, read again by all others."""
+    key = (spark.sparkContext.applicationId, sf, corpus.__name__)
+    if key in _PATHS:
+        try:
+            return X.read_index(spark, _PATHS[key])
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+    path = scratch_path(spark, "index")
+    X.write_index(X.build_index(corpus(spark, sf)), path)
+    _PATHS[key] = path
+    return X.read_index(spark, path)
+
+
 def _sql_values(terms):
     rows = ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(terms, 1))
     return f"queries(query_id, term) AS (VALUES {rows})"
@@ -154,7 +174,7 @@ def _(spark, sf):
 @query("match_words", f"""WITH {MATCHED}
 SELECT query_id, word, doc_id, raw_tf, round(bonus, 6) AS length_bonus FROM per_word""")
 def _(spark, sf):
-    index = X.build_index(V.corpus(spark, sf))
+    index = _index(spark, sf)
     matches = S.match_words(index, S.query_words(_queries(spark)))
     return matches.groupBy("query_id", "word", "doc_id").agg(
         F.sum("tf").alias("raw_tf"), F.round(F.max("length_bonus"), 6).alias("length_bonus")
@@ -166,7 +186,7 @@ SELECT query_id, word, doc_id, raw_tf, round(wtf, 4) AS weighted_term_frequency,
   n_terms AS document_length, round(avg_terms, 4) AS average_page_length, n AS total_pages, round(idf, 4) AS idf,
   round(saturating, 4) AS saturating_tf, round(idf * saturating, 4) AS score FROM scored""")
 def _(spark, sf):
-    index = X.build_index(V.corpus(spark, sf))
+    index = _index(spark, sf)
     scored = S.score_words(index, S.match_words(index, S.query_words(_queries(spark))))
     rounded = ["weighted_term_frequency", "average_page_length", "idf", "saturating_tf", "score"]
     plain = ["query_id", "word", "doc_id", "raw_tf", "pages_containing_term", "document_length", "total_pages"]
@@ -174,8 +194,8 @@ def _(spark, sf):
 
 
 def _hits(spark, sf):
-    index = X.build_index(V.corpus(spark, sf))
-    return index, S.search(index, _queries(spark))
+    index = _index(spark, sf)
+    return index, S.search(index, _queries(spark), locations=False)
 
 
 @query("search", f"WITH {HITS} SELECT query_id, doc_id, round(score, 4) AS score FROM hits")
@@ -186,9 +206,9 @@ def _(spark, sf):
 @query("search_request", f"""WITH {HITS} SELECT query_id, doc_id, round(score, 4) AS score FROM hits
 UNION ALL SELECT {len(TERMS) + 1}, doc_id, 0.0 FROM docs""")
 def _(spark, sf):
-    index = X.build_index(V.corpus(spark, sf))
+    index = _index(spark, sf)
     # A term that is missing asks for every document.
-    hits = S.search(index, S.queries_from(spark, [*TERMS, None]))
+    hits = S.search(index, S.queries_from(spark, [*TERMS, None]), locations=False)
     return hits.select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
@@ -196,7 +216,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "index")
     X.write_index(X.build_index(V.corpus(spark, sf)), path)
-    hits = S.search(X.read_index(spark, path), _queries(spark))
+    hits = S.search(X.read_index(spark, path), _queries(spark), locations=False)
     return hits.select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
@@ -205,8 +225,8 @@ ANY = _scored("t.term = w.word").replace("HAVING count(*) = n_words", "")
 
 @query("search_any_word", f"WITH {ANY} SELECT query_id, doc_id, round(score, 4) AS score FROM hits")
 def _(spark, sf):
-    index = X.build_index(V.corpus(spark, sf))
-    hits = S.search(index, _queries(spark), prefix=False, match_all=False)
+    index = _index(spark, sf)
+    hits = S.search(index, _queries(spark), prefix=False, match_all=False, locations=False)
     return hits.select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
@@ -215,8 +235,8 @@ EXACT = _scored("starts_with(t.term_exact, w.word_exact)", "t.term_exact = w.wor
 
 @query("exact_diacritics", f"WITH {EXACT} SELECT query_id, doc_id, round(score, 4) AS score FROM hits")
 def _(spark, sf):
-    index = X.build_index(V.corpus(spark, sf))
-    hits = S.search(index, _queries(spark), exact_diacritics=True)
+    index = _index(spark, sf)
+    hits = S.search(index, _queries(spark), exact_diacritics=True, locations=False)
     return hits.select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
@@ -229,9 +249,9 @@ boosts AS (
   GROUP BY ALL)
 SELECT query_id, doc_id, round(score * (1 + coalesce(boost, 0)), 4) AS score FROM hits LEFT JOIN boosts USING (query_id, doc_id)""")
 def _(spark, sf):
-    index = X.build_index(V.corpus(spark, sf))
+    index = _index(spark, sf)
     ranking = S.Ranking(meta_weights={"source": 2.0, "filename": 1.0})
-    hits = S.search(index, _queries(spark), ranking)
+    hits = S.search(index, _queries(spark), ranking, locations=False)
     return hits.select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
@@ -244,9 +264,9 @@ blended AS (
 SELECT query_id, doc_id, round(sum(part), 4) AS score FROM blended
 WHERE query_id <> {PHRASE} OR doc_id IN (SELECT doc_id FROM phrases) GROUP BY query_id, doc_id, n_words HAVING count(*) = n_words""")
 def _(spark, sf):
-    index = X.build_index(V.corpus(spark, sf))
+    index = _index(spark, sf)
     ranking = S.Ranking(term_similarity=0.0, page_length=0.5, term_saturation=2.0, term_frequency=0.5)
-    hits = S.search(index, _queries(spark), ranking)
+    hits = S.search(index, _queries(spark), ranking, locations=False)
     return hits.select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
@@ -278,7 +298,7 @@ def _(spark, sf):
 SELECT 4 AS query_id, a.doc_id, a.position::INT AS start FROM terms a JOIN terms b
   ON b.doc_id = a.doc_id AND b.position = a.position + 1 WHERE a.term = 'of' AND b.term = 'the'""")
 def _(spark, sf):
-    return S.phrase_search(X.build_index(V.corpus(spark, sf)), _queries(spark))
+    return S.phrase_search(_index(spark, sf), _queries(spark))
 
 
 # ---- filters, facets, order ---------------------------------------------------------------
@@ -391,7 +411,7 @@ def _(spark, sf):
 SELECT query_id, doc_id, '/docs/' || source || '/' || doc_id AS url, md5(text) AS text, round(score, 3) AS score
 FROM hits JOIN docs USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20""")
 def _(spark, sf):
-    best = S.full_text_topk(X.build_index(V.corpus(spark, sf)), _queries(spark), 20)
+    best = S.full_text_topk(_index(spark, sf), _queries(spark), 20)
     return best.select("query_id", "doc_id", "url", F.md5("text").alias("text"), F.round("score", 3).alias("score"))
 
 
@@ -419,9 +439,9 @@ MERGED = f"""{DOCS}, {TURNS}, {_plain_hits('a', 'docs')}, {_plain_hits('b', 'tur
 def _merged(spark, sf):
     queries = S.queries_from(spark, ["the", "and"])
     parts = []
-    for docs, weight, site in [(V.corpus(spark, sf), 1.0, "documents"), (V.talk(spark, sf), 0.5, "talk")]:
-        index = X.build_index(docs)
-        hits = S.search(index, queries, prefix=False).join(docs.select("doc_id", "filters"), "doc_id")
+    for corpus, weight, site in [(V.corpus, 1.0, "documents"), (V.talk, 0.5, "talk")]:
+        index = _index(spark, sf, corpus)
+        hits = S.search(index, queries, prefix=False, locations=False).join(index.docs.select("doc_id", "filters"), "doc_id")
         parts.append((hits.select("query_id", "doc_id", "score", "filters"), weight, {"site": site}))
     return S.merge_indexes(parts)
 
@@ -497,7 +517,7 @@ starts AS (
 
 
 def _spots(spark, sf):
-    index = X.build_index(V.corpus(spark, sf))
+    index = _index(spark, sf)
     return index, S.search(index, S.queries_from(spark, ["the", "en"]), prefix=False, exact_diacritics=True)
 
 
@@ -637,3 +657,31 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY 1 - list_cosine_simila
 def _(spark, sf):
     near = W.vector_topk(*_vectors(spark, sf), 10, metric="cosine")
     return near.select("query_id", "id", F.round("distance", 4).alias("distance"))
+
+
+def _asked(rows):
+    return rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+
+
+def _vector_index(spark, sf, metric="l2"):
+    rows = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    path = scratch_path(spark, "vectors")
+    W.write_vector_index(rows, path, metric)
+    return rows, W.read_vector_index(spark, path, metric)
+
+
+@query("vector_index_topk", """SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS distance
+FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0
+QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) <= 10""")
+def _(spark, sf):
+    rows, index = _vector_index(spark, sf)
+    near = W.search_vectors(index, _asked(rows), 10, exact=True)
+    return near.select("query_id", "id", F.round("distance", 4).alias("distance"))
+
+
+@query("vector_index_recall", "SELECT 10 * count(*)::BIGINT AS n_exact, true AS reaches FROM embeddings WHERE vec_id % 50 = 0")
+def _(spark, sf):
+    rows, index = _vector_index(spark, sf, "cosine")
+    asked = _asked(rows)
+    share = W.recall(W.search_vectors(index, asked, 10), W.vector_topk(rows, asked, 10, "cosine"))
+    return share.select("n_exact", (F.col("recall") >= 0.9).alias("reaches"))

@@ -45,12 +45,52 @@ def test_matching(spark, index):
     assert scores[3] > scores[4]
 
 
-def test_many_query_words_take_the_join(spark, index, monkeypatch):
-    queries = S.queries_from(spark, ["cat", "the on", "elan", "of"])
-    expected = sorted((r["query_id"], r["doc_id"], round(r["score"], 9)) for r in S.search(index, queries).collect())
-    monkeypatch.setattr(S, "pin_small", lambda df: None)
-    got = sorted((r["query_id"], r["doc_id"], round(r["score"], 9)) for r in S.search(index, queries).collect())
-    assert got == expected
+def test_many_query_words_read_only_their_folders(spark, index):
+    # 300 words that nothing begins with, beside two that are there: the folders read are still those of the two.
+    few, many = ["cat", "elan"], ["cat", "elan", *(f"q{i}" for i in range(300))]
+    got = [sorted((r["query_id"], r["doc_id"]) for r in S.search(index, S.queries_from(spark, terms)).collect()) for terms in (few, many)]
+    assert got[0] == got[1]
+    words = S.query_words(S.queries_from(spark, many))
+    plans = [p._jdf.queryExecution().executedPlan().toString() for p in (S.match_words(index, words), S.match_words(index, S.query_words(S.queries_from(spark, few))))]
+    parts = [set(p.split("part#")[1].split("IN (", 1)[-1].split(")")[0].split(",")) if " IN (" in p else set() for p in plans]
+    assert parts[0] == parts[1] and "PartitionFilters: [" in plans[0] and "Generate" not in plans[0]
+
+
+def test_dictionary_numbers_follow_the_terms(index):
+    rows = index.stored.terms.orderBy("lang", "term", "term_exact").collect()
+    assert [r["term_id"] for r in rows] == sorted(r["term_id"] for r in rows)
+    cat = [r for r in rows if r["term"] == "cat"]
+    assert [(r["doc_frequency"], r["occurrences"]) for r in cat] == [(2, 2)]
+
+
+def test_block_numbers(column):
+    places = [1, 128, 129, 1024, 1025, 1152, 8320, 8321, 10**6]
+    assert column(places, "bigint", X.block_number) == [0, 0, 1, 1, 2, 2, 3, 3, 5]
+
+
+@pytest.fixture(scope="module")
+def long_lists(spark):
+    """Documents in which few stand out: lists of postings with several blocks, and many ties."""
+    rng = random.Random(7)
+    texts = {}
+    for i in range(3000):
+        words = ["common"] * rng.choice([1, 1, 1, 2]) + ["pad"] * rng.choice([5, 30, 60]) + ["other"] * (i % 3 == 0) + ["common"] * (30 if i % 500 == 1 else 0)
+        texts[i] = " ".join(words + ["commoner"] * (i % 40 == 0))
+    rows = [(i, "en", f"/d/{i}", t) for i, t in texts.items()]
+    return X.build_index(spark.createDataFrame(rows, "doc_id int, lang string, url string, content string"))
+
+
+def test_best_hits_skip_blocks_and_equal_full_scoring(spark, long_lists):
+    queries = S.queries_from(spark, ["common", "common other", "commoner", '"pad other"', "zebra", "", "comm pad"])
+    seen = []
+    for limit, prefix in ((5, False), (20, True)):
+        full = S.top_hits(S.search(long_lists, queries, prefix=prefix, locations=False), limit)
+        want = sorted((r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in full.collect())
+        best = S.best_hits(long_lists, queries, limit, prefix=prefix, skipped=lambda b: seen.append(b.select("query_id", "block", "n", "read").collect()))
+        assert sorted((r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in best.collect()) == want
+    whole = [r for r in seen[0] if r["query_id"] == 1]
+    # Five documents stand out for "common": only the first blocks of its list can hold better ones.
+    assert sum(r["n"] for r in whole if not r["read"]) > 1500 and {r["block"] for r in whole if r["read"]} <= {0, 1}
 
 
 def test_phrase(spark, index):
@@ -150,9 +190,33 @@ def test_vectors_are_exact_however_queries_are_split(spark):
     for q, v in enumerate(asked):
         far = np.sqrt(((rows - v) ** 2).sum(axis=1))
         expected |= {(q, int(i)) for i in np.lexsort((np.arange(300), far.round(9)))[:5]}
-    for most in (100, 3):
-        near = W.vector_topk(df, queries, 5, max_queries=most)
+    for most in (1 << 20, 150):
+        near = W.vector_topk(df, queries, 5, pass_bytes=most)
         assert {(r["query_id"], r["id"]) for r in near.collect()} == expected
+    # One query of many vectors: each row counts with the nearest of them, in however many scans they go.
+    same = queries.withColumn("query_id", F.lit(1))
+    least = np.sqrt(((rows[:, None] - asked[None]) ** 2).sum(axis=2)).min(axis=1).round(9)
+    near = W.vector_topk(df, same, 5, pass_bytes=150)
+    assert [r["id"] for r in near.orderBy("rank").collect()] == np.lexsort((np.arange(300), least))[:5].tolist()
+    assert W.vector_topk(df, queries.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_vector_index(spark, tmp_path, metric):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(12, 8))
+    points = centres[rng.integers(0, 12, 900)] + 0.4 * rng.normal(size=(900, 8))
+    # A third of the rows are one vector, in one cell that is dealt out.
+    points[:300] = points[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)] + [(9999, None)], "id int, vector array<double>")
+    queries = spark.createDataFrame([(i, points[i * 17].tolist()) for i in range(40)], "query_id int, vector array<double>")
+    W.write_vector_index(df, str(tmp_path), metric, cells=20, cell_rows=100)
+    index = W.read_vector_index(spark, str(tmp_path), metric)
+    assert index.rows.count() == 900 and index.cells.agg(F.max("parts")).first()[0] >= 3
+    exact = W.vector_topk(df, queries, 5, metric)
+    rounded = lambda df: sorted((r["query_id"], r["rank"], round(r["distance"], 7)) for r in df.collect())
+    assert rounded(W.search_vectors(index, queries, 5, exact=True)) == rounded(exact)
+    assert W.recall(W.search_vectors(index, queries, 5), exact).first()["recall"] >= 0.9
 
 
 def test_rule_tables(spark):
