@@ -497,23 +497,27 @@ def _(spark, sf):
 
 # ---- excerpts and sections ----------------------------------------------------------------
 
-SPOTS = f"""{INDEX}, spots AS (
-  SELECT CASE term_exact WHEN 'the' THEN 1 ELSE 2 END AS query_id, doc_id, position AS loc FROM terms WHERE term_exact IN ('the', 'en')),
-spans AS (
-  SELECT query_id, doc_id, max(loc) + 1 AS w, count(*) FILTER (loc < 30) AS s0 FROM spots GROUP BY ALL),
-grid AS (SELECT query_id, doc_id, w, s0, unnest(range(w)) AS i FROM spans),
+def _starts(spots: str, keys: str, length: int) -> str:
+    """CTEs up to ``starts`` ({keys}, excerpt_start): the densest stretch of ``length`` words over {spots} ({keys}, loc)."""
+    same = " AND ".join(f"x.{k} = {{0}}.{k}" for k in keys.split(", "))
+    return f"""spans AS (
+  SELECT {keys}, max(loc) + 1 AS w, count(*) FILTER (loc < {length}) AS s0 FROM {spots} GROUP BY {keys}),
+grid AS (SELECT {keys}, w, s0, unnest(range(w)) AS i FROM spans),
 slid AS (
-  SELECT g.*, count(s.loc) OVER (PARTITION BY g.query_id, g.doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING) AS s
-  FROM grid g LEFT JOIN spots s ON s.query_id = g.query_id AND s.doc_id = g.doc_id AND s.loc = g.i),
-tops AS (SELECT query_id, doc_id, any_value(w) AS w, any_value(s0) AS s0, greatest(max(s), any_value(s0)) AS m FROM slid GROUP BY ALL),
-firsts AS (
-  SELECT t.*, CASE WHEN s0 = m THEN 0 ELSE (SELECT min(i) FROM slid x WHERE x.query_id = t.query_id AND x.doc_id = t.doc_id AND x.s = t.m) END AS first
-  FROM tops t),
+  SELECT g.*, count(x.loc) OVER (PARTITION BY {", ".join("g." + k for k in keys.split(", "))} ORDER BY i ROWS BETWEEN 1 FOLLOWING AND {length} FOLLOWING) AS s
+  FROM grid g LEFT JOIN {spots} x ON {same.format("g")} AND x.loc = g.i),
+tops AS (SELECT {keys}, any_value(w) AS w, any_value(s0) AS s0, greatest(max(s), any_value(s0)) AS m FROM slid GROUP BY {keys}),
+firsts AS (SELECT t.*, CASE WHEN s0 = m THEN 0 ELSE (SELECT min(i) FROM slid x WHERE {same.format("t")} AND x.s = t.m) END AS first FROM tops t),
 stops AS (
-  SELECT f.*, coalesce((SELECT min(i) FROM slid x WHERE x.query_id = f.query_id AND x.doc_id = f.doc_id AND x.i > f.first AND x.s <> f.m), w) AS stop
-  FROM firsts f),
+  SELECT f.*, coalesce((SELECT min(i) FROM slid x WHERE {same.format("f")} AND x.i > f.first AND x.s <> f.m), w) AS stop FROM firsts f),
 starts AS (
-  SELECT query_id, doc_id, CASE WHEN w <= 30 THEN 0 ELSE first + (greatest(stop, first + 1) - first) // 2 END AS excerpt_start FROM stops)"""
+  SELECT {keys}, CASE WHEN w <= {length} THEN 0 ELSE first + (greatest(stop, first + 1) - first) // 2 END AS excerpt_start FROM stops)"""
+
+
+SPOT_ROWS = f"""{INDEX}, spots AS (
+  SELECT CASE term_exact WHEN 'the' THEN 1 ELSE 2 END AS query_id, doc_id, position AS loc FROM terms WHERE term_exact IN ('the', 'en'))"""
+SPOTS = f"""{SPOT_ROWS},
+{_starts("spots", "query_id, doc_id", 30)}"""
 
 
 def _spots(spark, sf):
@@ -596,11 +600,44 @@ def _(spark, sf):
     )
 
 
-@query("sub_result_excerpts")
+@query("sub_result_excerpts", f"""WITH {SPOT_ROWS}, held AS (
+  SELECT query_id, doc_id, section, CASE WHEN section = 0 THEN 0 ELSE 40 * section - 20 END AS begin, loc - begin AS loc
+  FROM (SELECT *, CASE WHEN loc < 20 THEN 0 ELSE (loc - 20) // 40 + 1 END AS section FROM spots) AS s),
+{_starts("held", "query_id, doc_id, section", 12)},
+cut AS (
+  SELECT query_id, doc_id, section, excerpt_start, CASE WHEN section = 0 THEN 0 ELSE 40 * section - 20 END AS begin,
+    regexp_split_to_array(replace(replace(text, '<', '&lt;'), '>', '&gt;'), '{V.BLANK}+') AS w,
+    CASE WHEN 20 + 40 * section < len(w) THEN 20 + 40 * section END AS stop
+  FROM starts JOIN docs USING (doc_id)),
+sized AS (
+  SELECT *, coalesce(stop, len(w)) - begin AS n, least(CASE WHEN stop IS NULL THEN 12 ELSE least(stop - begin - excerpt_start, 12) END, n) AS size,
+    greatest(least(excerpt_start, n - size), 0) AS b FROM cut),
+marked AS (SELECT query_id, doc_id, section, begin, w, unnest(range(b, b + size)) AS k FROM sized),
+texts AS (
+  SELECT m.query_id, m.doc_id, m.section, trim(string_agg(CASE WHEN h.loc IS NULL THEN w[begin + k + 1] ELSE '<mark>' || w[begin + k + 1] || '</mark>' END, ' ' ORDER BY k)) AS excerpt,
+    trim(string_agg(w[begin + k + 1], ' ' ORDER BY k)) AS plain_excerpt
+  FROM marked m LEFT JOIN (SELECT query_id, doc_id, section, loc FROM held) h ON h.query_id = m.query_id AND h.doc_id = m.doc_id AND h.section = m.section AND h.loc = m.k
+  GROUP BY m.query_id, m.doc_id, m.section)
+SELECT query_id, doc_id, section::INT AS section, (excerpt_start + begin)::INT AS excerpt_start, excerpt, plain_excerpt FROM sized JOIN texts USING (query_id, doc_id, section)""")
 def _(spark, sf):
     return _sections(spark, sf).select("query_id", "doc_id", "section", "excerpt_start", "excerpt", "plain_excerpt")
 
 
+@query("page_sub_results", f"""WITH {V.PAGE_TEXTS}, {V.terms_sql("page_texts")}, spots AS (
+  SELECT CASE term_exact WHEN 'the' THEN 1 ELSE 2 END AS query_id, doc_id, position AS loc FROM terms WHERE term_exact IN ('the', 'de')),
+placed AS (SELECT s.*, location, heading, url, location IS NOT NULL AND loc >= location AS below FROM spots s JOIN page_texts USING (doc_id) LEFT JOIN page_anchors USING (doc_id))
+SELECT query_id, doc_id, below::INT AS section, count(*)::BIGINT AS n_hits, string_agg(loc::VARCHAR, ',' ORDER BY loc) AS locations,
+  CASE WHEN below THEN any_value(heading) ELSE any_value(url) END AS title,
+  CASE WHEN below THEN regexp_replace(any_value(url), '#.*$', '') || '#' || trim(regexp_replace(lower(any_value(heading)), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-') ELSE any_value(url) END AS section_url
+FROM placed GROUP BY query_id, doc_id, below""")
+def _(spark, sf):
+    index = _index(spark, sf, V.page_texts)
+    hits = S.search(index, S.queries_from(spark, ["the", "de"]), prefix=False, exact_diacritics=True)
+    made = P.sub_results(hits.join(index.docs.select("doc_id", "url", "title", "content", "anchors"), "doc_id"))
+    places = F.array_join(F.col("locations").cast("array<string>"), ",")
+    return made.select("query_id", "doc_id", "section", "n_hits", places.alias("locations"), "title", "section_url")
+
+
 @query("thin_sub_results", f"""WITH {SECTIONS}
 SELECT query_id, doc_id, section, n_hits FROM sections WHERE section > 0
 QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY n_hits DESC, section) <= 3""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..operators.sections import extract_anchors, visible_text
 from ..operators.selection import RESET, SELECT_ALL, TOGGLE
 from ..sources.tables import read_wide
 
@@ -163,6 +164,33 @@ def talk(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def page_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as search documents: their visible text, with the headings in it."""
+    pages = extract_anchors(table(spark, sf, "pages"))
+    return pages.select(
+        F.col("page_id").alias("doc_id"), F.lit("en").alias("lang"), "url", F.col("url").alias("title"),
+        visible_text(F.col("html")).alias("content"), "anchors",
+    )
+
+
+SQL_TAGS = (
+    "(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<title\\b[^>]*>.*?</title\\s*>|<!--.*?-->|<[^>]*>"
+)
+
+
+def sql_visible(html: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({html}, '{SQL_TAGS}', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+PAGE_TEXTS = f"""page_heads AS (
+  SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS inner_html, {sql_visible("split_part(html, '<h1', 1)")} AS lead
+  FROM pages WHERE contains(html, '<h1')),
+page_anchors AS (
+  SELECT page_id AS doc_id, CASE WHEN lead = '' THEN 0 ELSE len(string_split(lead, ' ')) END::INT AS location, {sql_visible("inner_html")} AS heading
+  FROM page_heads),
+page_texts AS (SELECT page_id AS doc_id, url, {sql_visible("html")} AS text FROM pages)"""
+
+
 DROPPED = "[\\p{Pd}\\p{Pe}\\p{Pf}\\p{Pi}\\p{Po}\\p{Ps}]"
 BLANK = "[\\s\\x0B\\p{Z}\\x{FEFF}]"
 
