@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfmark.llm import katz, langid, mixing, packing, pages, secrets, simhash, toxicity
+from shelfmark.llm import copies, katz, langid, mixing, packing, pages, secrets, simhash, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -324,6 +324,52 @@ def test_near_copies_of_the_pipeline_are_those_of_brute_force(spark, docs):
     assert near > 20 and got == sorted(set(label))
 
 
+def test_rare_pairs_hold_all_similar_ones_and_no_family(spark):
+    rng = np.random.default_rng(21)
+    draw = lambda n: [int(x) for x in rng.integers(1, 1 << 62, n)]
+    held = []
+    # A family of 400 sets with 85 of 100 shingles in common, 0.74 alike, and one whose members differ in size.
+    core, wide = draw(85), draw(160)
+    held += [core + draw(15) for _ in range(400)] + [wide + draw(int(rng.integers(25, 45))) for _ in range(200)]
+    family = len(held)
+    # Pairs from just below to well above the bound.
+    for _ in range(150):
+        n = int(rng.integers(2, 120))
+        base = draw(n)
+        changed = int(rng.integers(0, n // 5 + 2))
+        held += [base, base[changed:] + draw(int(rng.integers(0, changed + 2)))]
+    sets = [np.unique(np.array(h, np.int64)) for h in held]
+    points = spark.createDataFrame([(i, len(x), i) for i, x in enumerate(sets)], "point bigint, n int, root bigint")
+    table = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "point bigint, held binary")
+    met = {(r.a, r.b) for r in copies.rare_pairs(points, table).collect()}
+    similar = {(a, b) for b in range(len(sets)) for a in range(max(0, b - 1), b) if copies.similar(sets[a], sets[b])}
+    assert len(similar) > 40 and similar <= met
+    assert not any(a < family and b < family for a, b in met) and len(met) < 400
+    one_root = points.withColumn("root", F.lit(1))
+    assert copies.rare_pairs(one_root, table).collect() == []
+
+
+def test_near_copies_at_the_bound_are_found(spark, docs):
+    rng = np.random.default_rng(22)
+    texts, planted = [], []
+    for _ in range(120):
+        base = [str(x) for x in rng.integers(0, 10**7, 240)]
+        # A block of new words changes as many shingles and four more on each side: similarities from 0.80 to 0.85.
+        changed, at = int(rng.integers(15, 22)), int(rng.integers(20, 180))
+        near = base[:at] + [str(x) for x in rng.integers(10**8, 10**9, changed)] + base[at + changed :]
+        a, b = copies.shingles(" ".join(base).encode()), copies.shingles(" ".join(near).encode())
+        both = len(np.intersect1d(a, b))
+        if 0.8 <= both / (len(a) + len(b) - both) <= 0.85:
+            planted.append((len(texts), len(texts) + 1))
+        texts += [" ".join(base), " ".join(near)]
+    # Beside them, texts that share one long passage and are not alike enough.
+    passage = " ".join(str(x) for x in rng.integers(0, 10**7, 150))
+    texts += [passage + " " + " ".join(str(x) for x in rng.integers(0, 10**7, 40)) for _ in range(150)]
+    got = {r.doc_id: r.component for r in copies.groups(docs(texts)).collect()}
+    assert len(planted) > 60 and all(got[a] == got[b] for a, b in planted)
+    assert len({got[i] for i in range(240, len(texts))}) == 150
+
+
 def test_survivors_do_not_rest_on_how_a_scan_is_split(spark, tmp_path):
     path, setting = str(tmp_path / "docs"), "spark.sql.files.maxPartitionBytes"
     docs_of(spark, [(i, f"text number {i} of a few words", "x", "y", "z") for i in range(40)]).repartition(8).write.parquet(path)
