@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +25,8 @@ class TextIndex:
     """Postings (lang, term, term_exact, doc_id, tf, positions, weight), documents, their lengths.
 
     Lengths (lang, doc_id, n_terms) are a narrow table of their own. A stored index has ``terms``, its dictionary, too,
-    and ``blocks``: there postings name their term by ``term_id`` and carry the length of their document.
+    and ``blocks``: there postings name their term by ``term_id`` and carry the length of their document. ``counted`` says
+    that the dictionary knows how many documents of the index hold a term.
     """
 
     postings: DataFrame
@@ -33,10 +34,11 @@ class TextIndex:
     lengths: DataFrame
     terms: DataFrame | None = None
     blocks: DataFrame | None = None
+    counted: bool = True
 
     def in_language(self, lang: str) -> TextIndex:
-        tables = [getattr(self, f.name) for f in fields(self)]
-        return TextIndex(*[table if table is None else table.where(F.col("lang") == lang) for table in tables])
+        tables = {f.name: getattr(self, f.name) for f in fields(self) if isinstance(getattr(self, f.name), DataFrame)}
+        return replace(self, **{name: table.where(F.col("lang") == lang) for name, table in tables.items()})
 
     @cached_property
     def stored(self) -> TextIndex:

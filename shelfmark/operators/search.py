@@ -397,9 +397,10 @@ def best_hits(
     """
     plain = queries.where(F.col("term").isNotNull() & ~is_phrase(F.col("term")))
     found = stored(match_terms(index, query_words(plain), prefix), "matched-terms")
-    # How many documents hold a word: of one term, the dictionary knows; of several, their document numbers are counted.
+    # How many documents hold a word: of one term, the dictionary knows; of several, their document numbers are counted, and so
+    # they are where documents have been removed.
     several = found.groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("n"), F.max("doc_frequency").alias("df"))
-    many = found.join(several.where("n > 1").select("query_id", "word"), ["query_id", "word"], "left_semi")
+    many = found.join(several.where(F.lit(not index.stored.counted) | (F.col("n") > 1)).select("query_id", "word"), ["query_id", "word"], "left_semi")
     counted = postings_of(index, many.select("query_id", "word", "term_id", "part")).groupBy("query_id", "word").agg(F.countDistinct("doc_id").alias("pages"))
     words = several.join(counted, ["query_id", "word"], "left").select("query_id", "word", F.coalesce("pages", "df").alias("pages_containing_term"))
     words = stored(words, "word-frequencies")

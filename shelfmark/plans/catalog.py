@@ -8,10 +8,12 @@ from ..functions import names as N
 from ..operators import catalog as C
 from ..operators import export as E
 from ..operators import imports as I
+from ..operators import search as find
+from ..operators.segments import compact
 from ..session import scratch_path
 from ..sources import files as S
 from ..sources import sinks as K
-from ..streaming.ingest import ingest_stream, read_records
+from ..streaming.ingest import ingest_files, read_ingested, read_records
 from . import views as V
 from .registry import query
 
@@ -51,12 +53,51 @@ def _(spark, sf):
     return E.base64_rows(V.blobs(spark, sf))
 
 
-@query("ingest_stream")
+# Documents as files that arrive in three batches, the second of them once more under other names.
+ARRIVED = """arrived AS (
+  SELECT doc_id, lang, source, doc_id % 3 AS batch, source || '-' || doc_id || 'x.png' AS filename, text, sha256(text) AS hash FROM documents),
+taken AS (
+  SELECT * FROM arrived QUALIFY row_number() OVER (PARTITION BY hash ORDER BY batch, filename, 'd' || doc_id) = 1)"""
+
+
+def _ingested(spark, sf):
+    """The folder of a finished ingest of all documents."""
+    docs = V.table(spark, sf, "documents").select(
+        F.concat("source", F.lit("-"), "doc_id", F.lit("x.png")).alias("filename"), F.concat(F.lit("d"), "doc_id").alias("file_path"),
+        F.octet_length("text").cast("bigint").alias("size"), F.lit("2024-05-01").cast("timestamp").alias("created"),
+        F.encode("text", "UTF-8").alias("content"), (F.col("doc_id") % 3).alias("batch"), "lang", "source",
+    )
+    files = docs.drop("lang", "source", "batch")
+    labels = docs.select(F.lit(0).alias("pos"), "filename", F.array("lang").alias("categories"), F.array("source").alias("tags"))
+    drop, table, checkpoint = (scratch_path(spark, name) for name in ("arrived", "ingested", "ingest-checkpoint"))
+    again = files.where(docs["batch"] == 1).withColumn("filename", F.concat(F.lit("z"), "filename")).withColumn("file_path", F.concat(F.lit("z"), "file_path"))
+    for batch in [*[files.where(docs["batch"] == i) for i in range(3)], again]:
+        batch.write.mode("append").parquet(drop)
+        arrived = spark.readStream.schema(files.schema).parquet(drop)
+        ingest_files(arrived, table, checkpoint, types=["png"], labels=labels).awaitTermination()
+    return table
+
+
+@query("ingest_stream", f"""WITH {ARRIVED}
+SELECT filename, filename AS original, '/emojis/' || filename AS path, octet_length(encode(text))::BIGINT AS size, hash, lang || '/' || source AS labels
+FROM taken""")
+def _(spark, sf):
+    records = read_records(spark, _ingested(spark, sf))
+    labels = F.concat_ws("/", F.array_join("categories", ","), F.array_join("tags", ","))
+    return records.select("filename", F.col("source").alias("original"), "path", "size", "hash", labels.alias("labels"))
+
+
+@query("search_ingested", f"""WITH {ARRIVED}, sizes AS (SELECT count(*) AS n FROM taken),
+words AS (SELECT 1 AS query_id, filename FROM taken WHERE lang = 'en' UNION ALL SELECT 2, filename FROM taken WHERE source = 'src1'),
+df AS (SELECT query_id, count(*) AS df FROM words GROUP BY query_id)
+SELECT query_id, '/emojis/' || filename AS url, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 4) AS score FROM words JOIN df USING (query_id), sizes""")
 def _(spark, sf):
-    table = scratch_path(spark, "ingested")
-    run = ingest_stream(spark, sf, table, scratch_path(spark, "ingest-checkpoint"), types=["parquet"])
-    run.awaitTermination()
-    return read_records(spark, table).select("id", "filename", "source", "path", "size", "hash")
+    table = _ingested(spark, sf)
+    compact(spark, f"{table}/index")
+    index = read_ingested(spark, table)
+    # Every document has two words, so a word that is there counts its idf.
+    hits = find.search(index, find.queries_from(spark, ["en", "src1"]), prefix=False, locations=False)
+    return hits.join(index.docs.select("doc_id", "url"), "doc_id").select("query_id", "url", F.round("score", 4).alias("score"))
 
 
 # ---- import -------------------------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Streamed ingest: new files become catalog records and postings, each file once."""
+"""Streamed ingest: new files become catalog records and a segment of the search index, each file once."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import names as N
 from ..operators.catalog import carry_labels
 from ..operators.imports import import_plan
-from ..operators.index import build_index, index_documents
+from ..operators.index import TextIndex, index_documents
+from ..operators.segments import add_segment, open_index
 from ..sources.files import stream_assets
 
 RECORD_SCHEMA = (
@@ -45,20 +46,15 @@ def ingest_batch(files: DataFrame, known: DataFrame, labels: DataFrame, types: l
     )
 
 
-def ingest_stream(
-    spark: SparkSession,
-    folder: str,
-    table: str,
-    checkpoint: str,
-    types: list[str] | None = None,
-    labels: DataFrame | None = None,
-    files_per_trigger: int = 10_000,
+def ingest_files(
+    files: DataFrame, table: str, checkpoint: str, types: list[str] | None = None, labels: DataFrame | None = None
 ) -> StreamingQuery:
-    """Start a run over all files not seen yet. The checkpoint remembers them, nothing is moved.
+    """Start a run over the streamed ``files`` (filename, file_path, size, created, content) not seen yet.
 
-    A batch writes a folder of its own and replaces it when it is repeated, so a record appears
-    once whatever fails in between.
+    A batch writes its records to a folder of its own, which it replaces when it is repeated, and indexes them as a
+    segment that is published last: a record appears once, and can be searched once, whatever fails in between.
     """
+    spark = files.sparkSession
     if labels is None:
         labels = spark.createDataFrame([], "pos int, filename string, categories array<string>, tags array<string>")
 
@@ -74,13 +70,30 @@ def ingest_stream(
         records = ingest_batch(batch, known, labels, types)
         records.write.mode("overwrite").parquet(f"{table}/records/batch_id={batch_id}")
         written = session.read.parquet(f"{table}/records/batch_id={batch_id}")
-        postings = build_index(index_documents(written)).postings
-        postings.write.mode("overwrite").parquet(f"{table}/postings/batch_id={batch_id}")
+        if not written.isEmpty():
+            add_segment(session, f"{table}/index", f"batch-{batch_id}", index_documents(written))
 
-    files = stream_assets(spark, folder, types or N.INGEST_TYPES, files_per_trigger)
     return (
         files.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def ingest_stream(
+    spark: SparkSession,
+    folder: str,
+    table: str,
+    checkpoint: str,
+    types: list[str] | None = None,
+    labels: DataFrame | None = None,
+    files_per_trigger: int = 10_000,
+) -> StreamingQuery:
+    """Start a run over all files of a folder not seen yet. The checkpoint remembers them, nothing is moved."""
+    return ingest_files(stream_assets(spark, folder, types or N.INGEST_TYPES, files_per_trigger), table, checkpoint, types, labels)
+
+
+def read_ingested(spark: SparkSession, table: str) -> TextIndex:
+    """The search index of everything ingested so far."""
+    return open_index(spark, f"{table}/index")
