@@ -20,8 +20,6 @@ from shelfmark.session import stored
 PIVOTS = 128
 BLOCK = 512
 SLICE = 16_384
-# Components are held within these bounds, so that scores fit into 64 bits.
-LIMIT = 1 << 26
 # Bounds are floating point: rows this near (in relation) to a bound are sent, too.
 SLACK = 1e-9
 
@@ -29,11 +27,13 @@ SLACK = 1e-9
 def quantized(rows: DataFrame, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(``vec_id``, ``vec``): floor(scale * x) per component of valid vectors.
 
-    Left out: rows without id, and vectors that are null or hold null or non-finite components.
+    Left out: rows without id, and vectors that are null or hold null or non-finite components. Components are whole
+    numbers in double precision, of any size.
     """
     x = F.transform(F.col(vector), lambda v: v.cast("double"))
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    whole = F.transform(x, lambda v: F.least(F.greatest(F.floor(v * scale), F.lit(-LIMIT)), F.lit(LIMIT)).cast("int"))
+    # Beyond 2^53 a double has no fraction, and the SQL function would stop at 64 bits.
+    whole = F.transform(x, lambda v: F.when(F.abs(v * scale) >= 2.0**53, v * scale).otherwise(F.floor(v * scale).cast("double")))
     return rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & finite).select(F.col(key).cast("bigint").alias("vec_id"), whole.alias("vec"))
 
 
@@ -43,11 +43,20 @@ def _matrix(batch: pa.RecordBatch, column: str = "vec") -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products: in floating point where all sums are whole numbers below 2^53, else in 64 bits."""
+    """Exact inner products: in floating point where all sums are whole numbers below 2^53, in 64 bits, or in Python's integers.
+
+    A product that needs more than 64 bits is an error.
+    """
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if most < 2.0**53:
         return a.dot(b.T).astype(np.int64)
-    return a.astype(np.int64).dot(b.T.astype(np.int64))
+    if most < 2.0**62:
+        return a.astype(np.int64).dot(b.T.astype(np.int64))
+    whole = np.frompyfunc(int, 1, 1)
+    found = whole(a).dot(whole(b).T)
+    if max(-found.min(), found.max() + 1) > 2**63:
+        raise OverflowError("a score needs more than 64 bits")
+    return found.astype(np.int64)
 
 
 def best_of(queries: np.ndarray, ids: np.ndarray, candidates: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,7 +120,7 @@ def _search_dim(rows: DataFrame, is_query, k: int, pivots: int, block: int, slic
                 away = np.sqrt(((x - centre[cell]) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), pa.array(cell.astype(np.int32)), pa.array(away)], names=["vec_id", "vec", "cell", "away"])
 
-    placed = stored(rows.select("vec_id", "vec").mapInArrow(place, "vec_id bigint, vec array<int>, cell int, away double"), "cells")
+    placed = stored(rows.select("vec_id", "vec").mapInArrow(place, "vec_id bigint, vec array<double>, cell int, away double"), "cells")
     # Summaries: k + 1 rows per cell (one may be the query's own) and the sizes. Bounded by the pivots.
     nearest = placed.groupBy("cell", "vec_id").agg(F.max("away").alias("away"))
     by_distance = Window.partitionBy("cell").orderBy("away", "vec_id")

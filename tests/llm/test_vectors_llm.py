@@ -33,6 +33,20 @@ def test_nearest_are_those_of_brute_force(spark, spread):
     assert got == sorted(want)
 
 
+def test_large_components_are_exact(spark):
+    rows = [(0, [2_000_000.0, 1.0]), (1, [1_000_000.0, 2.0]), (2, [3_000_000.0, 0.0]), (50, [-1.0, 1_500_000.0]), (3, [2_000_000.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    got = sorted(tuple(r) for r in knn.search(knn.quantized(df), F.col("vec_id") % 50 == 0).collect())
+    assert got == sorted(want) and [r[2] for r in got[:4]][0] == 2
+    with pytest.raises(Exception, match="64 bits"):
+        knn.search(knn.quantized(spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id bigint, embedding array<float>")), F.col("vec_id") % 50 == 0).collect()
+
+
 def test_nearest_of_few_and_none(spark):
     few = knn.quantized(frame(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (50, [0.0, 0.0]), (2, [1.0, 2.0, 3.0])]))
     assert sorted((r.query_id, r.rank, r.vec_id) for r in knn.search(few, F.col("vec_id") % 50 == 0).collect()) == [(0, 1, 1), (0, 2, 50), (50, 1, 0), (50, 2, 1)]
