@@ -6,56 +6,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .index import field_tokens
-from .skew import distinct_lengths, pin_small
+from .skew import pin_small
 
 
-def allowed_distance(length: int) -> int:
-    return max(1, length // 4)
+def allowed_distance(length: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(length / 4)).cast("int")
 
 
-def _segments(length: int) -> list[tuple[int, int, int]]:
-    """(number, start, size) of the pieces a word of this length is cut into.
+def with_pieces(rows: DataFrame) -> DataFrame:
+    """Add edits, number, start and size of the pieces that a word of ``n`` letters is cut into, one row per piece.
 
     A word has one piece more than edits are allowed, so at least one piece survives in every
     word within that distance, moved by no more places than there are edits.
     """
-    pieces = allowed_distance(length) + 1
-    small, larger = divmod(length, pieces)
-    cuts, start = [], 0
-    for number in range(pieces):
-        size = small + (1 if number >= pieces - larger else 0)
-        cuts.append((number, start, size))
-        start += size
-    return cuts
-
-
-def _key(length: int, number: int, piece: Column) -> Column:
-    return F.concat(F.lit(f"{length}:{number}:"), piece)
+    pieces, number = F.col("edits") + 1, F.col("number")
+    small = F.floor(F.col("n") / pieces).cast("int")
+    # The last pieces take one letter more each until all letters are dealt.
+    longer_from = pieces - F.col("n") % pieces
+    rows = rows.withColumn("edits", allowed_distance(F.col("n")))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("number"))
+    return rows.withColumns({
+        "start": (number * small + F.greatest(F.lit(0), number - longer_from)).cast("int"),
+        "size": (small + F.when(number >= longer_from, 1).otherwise(0)).cast("int"),
+    })
 
 
 def similar_words(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
     """(token, word, distance) of all pairs within the allowed distance.
 
     ``vocabulary`` has distinct tokens, ``words`` distinct query words. Pairs are found by an
-    equi-join on pieces that must be equal; the distance is computed for those only.
+    equi-join on pieces that must be equal; the distance is computed for those only. Pieces and the places they may
+    have moved to are rows, made from the lengths of the words: the plan is the same for any words.
     """
-    lengths = distinct_lengths(words, "word")
-    token, word = F.col("token"), F.col("word")
-    token_keys, word_keys = [], []
-    for n in lengths:
-        edits = allowed_distance(n)
-        near = F.length(token).between(n - edits, n + edits)
-        for number, start, size in _segments(n):
-            word_keys.append(F.when(F.length(word) == n, _key(n, number, F.substring(word, start + 1, size))))
-            for moved in range(max(0, start - edits), start + edits + 1):
-                fits = near & (F.length(token) >= moved + size)
-                token_keys.append(F.when(fits, _key(n, number, F.substring(token, moved + 1, size))))
-    if not lengths:
-        token_keys = word_keys = [F.lit(None).cast("string")]
-    left = vocabulary.select("token", F.explode(F.array_distinct(F.array_compact(F.array(*token_keys)))).alias("key"))
-    right = words.select("word", F.explode(F.array_compact(F.array(*word_keys))).alias("key"))
-    pairs = left.join(right, "key").select("token", "word").distinct()
-    limit = F.greatest(F.lit(1), F.floor(F.length("word") / 4).cast("int"))
+    own = with_pieces(words.select("word", F.length("word").alias("n")).where("n > 0"))
+    right = own.select("word", "n", "number", F.expr("substring(word, start + 1, size)").alias("piece"))
+    # Which lengths a token may be looked up as: a row per length of a word and of a token near it.
+    lengths = words.select(F.length("word").alias("n")).where("n > 0").distinct().withColumn("edits", allowed_distance(F.col("n")))
+    near = lengths.select("n", F.explode(F.expr("sequence(greatest(n - edits, 1), n + edits)")).alias("length"))
+    tokens = vocabulary.select("token", F.length("token").alias("length")).join(near, "length")
+    places = with_pieces(tokens).select(
+        "token", "n", "number", "size", F.explode(F.expr("sequence(greatest(start - edits, 0), start + edits)")).alias("at"), "length"
+    ).where("at + size <= length")
+    left = places.select("token", "n", "number", F.expr("substring(token, at + 1, size)").alias("piece"))
+    pairs = left.join(right, ["n", "number", "piece"]).select("token", "word").distinct()
+    limit = allowed_distance(F.length("word"))
     return pairs.withColumn("distance", F.levenshtein("token", "word")).where(F.col("distance") <= limit)
 
 

@@ -179,6 +179,17 @@ def test_similar_words_finds_every_pair(spark):
     assert got == expected
 
 
+def test_similar_words_of_any_length_have_one_plan(spark):
+    long = "".join(random.Random(4).choice("abcdefgh") for _ in range(400))
+    changed = long[:50] + "xyz" + long[53:200] + long[205:] + "tail"
+    frame = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    pairs = Z.similar_words(frame("token", [changed, long[:250], "short"]), frame("word", [long, "shirt", "x"]))
+    assert {(r["token"], r["word"]): r["distance"] for r in pairs.collect()} == {(changed, long): levenshtein(changed, long), ("short", "shirt"): 1}
+    size = lambda words: len(Z.similar_words(frame("token", ["a"]), frame("word", words))._jdf.queryExecution().optimizedPlan().toString())
+    # Expression numbers in the text may grow by a digit.
+    assert abs(size(["ab"]) - size(["a" * n for n in range(1, 60)])) < 100
+
+
 def test_vectors_are_exact_however_queries_are_split(spark):
     rng = np.random.default_rng(10)
     rows = rng.normal(size=(300, 8)).round(1)
