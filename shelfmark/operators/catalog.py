@@ -136,13 +136,18 @@ def build_metadata(
     )
 
 
-def catalog_stats(catalog: DataFrame) -> DataFrame:
+def stat_columns() -> list[Column]:
+    """How many records there are, when the last one was made, and how many have labels."""
     labelled = has_labels({"categories": F.col("categories"), "tags": F.col("tags")})
-    return catalog.agg(
+    return [
         F.count(F.lit(1)).alias("total"),
         F.max("created").alias("last_updated"),
         F.count_if(labelled).alias("labelled"),
-    )
+    ]
+
+
+def catalog_stats(catalog: DataFrame) -> DataFrame:
+    return catalog.agg(*stat_columns())
 
 
 def id_collisions(catalog: DataFrame) -> DataFrame:

@@ -361,9 +361,21 @@ def _(spark, sf):
 
 
 @query("write_catalog_order", f"""WITH {V.CATALOG}
-SELECT id, row_number() OVER (ORDER BY filename, id) AS position FROM catalog""")
+SELECT filename, row_number() OVER (ORDER BY translate(lower(filename), '_-.', '!"#'), filename) AS position FROM catalog""")
 def _(spark, sf):
     from ..operators.skew import rank_in_group
 
-    rows = V.catalog(spark, sf)
-    return rank_in_group(rows, [], [("filename", True), ("id", True)], "position").select("id", "position")
+    path = scratch_path(spark, "catalog")
+    K.write_catalog(V.catalog(spark, sf).drop("pos"), path)
+    placed = K.stored_order(S.read_catalog_table(spark, f"{path}/records"))
+    return rank_in_group(placed, [], [("file", True), ("row", True)], "position").select("filename", "position")
+
+
+@query("counted_sinks", f"""WITH {V.BLOBS}, {V.CATALOG}
+SELECT 'encoded' AS sink, count(*)::BIGINT AS total, sum(size)::BIGINT AS amount FROM blobs
+UNION ALL SELECT 'catalog', count(*), count(*) FILTER (len(categories) > 0 OR len(tags) > 0) FROM catalog""")
+def _(spark, sf):
+    encoded = K.write_encoded(E.base64_rows(V.blobs(spark, sf)), scratch_path(spark, "encoded"))
+    stats = K.write_catalog(V.catalog(spark, sf).drop("pos"), scratch_path(spark, "catalog"))
+    rows = [("encoded", encoded["rows"], encoded["bytes"]), ("catalog", stats["total"], stats["labelled"])]
+    return spark.createDataFrame(rows, "sink string, total bigint, amount bigint")

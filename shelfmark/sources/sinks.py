@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..operators.catalog import catalog_stats
+from ..operators.catalog import stat_columns
 
 
 def by_filename() -> list:
@@ -13,14 +13,28 @@ def by_filename() -> list:
     return [F.collate("filename", "UNICODE"), F.col("filename")]
 
 
-def write_catalog(catalog: DataFrame, path: str, json: bool = False) -> None:
-    """Store records in filename order, sorted across files by range, with their stats beside them."""
-    ordered = catalog.orderBy(*by_filename())
+def _counted(rows: DataFrame, *totals) -> tuple[DataFrame, Observation]:
+    """``rows`` and what will hold their totals once they are written: taken from the rows on their way, not from a second pass."""
+    seen = Observation()
+    return rows.observe(seen, *totals), seen
+
+
+def write_catalog(catalog: DataFrame, path: str, json: bool = False) -> dict:
+    """Store records in filename order, sorted across files by range, with their stats beside them. Gives the stats."""
+    ordered, seen = _counted(catalog.orderBy(*by_filename()), *stat_columns())
     if json:
         ordered.write.mode("overwrite").json(f"{path}/records")
     else:
         ordered.write.mode("overwrite").parquet(f"{path}/records")
-    catalog_stats(catalog).coalesce(1).write.mode("overwrite").json(f"{path}/stats")
+    stats = dict(seen.get)
+    row = catalog.sparkSession.createDataFrame([tuple(stats.values())], "total bigint, last_updated timestamp, labelled bigint")
+    row.coalesce(1).write.mode("overwrite").json(f"{path}/stats")
+    return stats
+
+
+def stored_order(rows: DataFrame) -> DataFrame:
+    """Add file and row, the place of each row of a stored table: files are named in the order of their ranges."""
+    return rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
 def write_search_table(documents: DataFrame, path: str) -> None:
@@ -34,11 +48,13 @@ def write_search_table(documents: DataFrame, path: str) -> None:
     )
 
 
-def write_encoded(rows: DataFrame, path: str, by_part: bool = False) -> None:
-    """Encoded rows as JSON lines; rows packed into parts lie together, part after part."""
+def write_encoded(rows: DataFrame, path: str, by_part: bool = False) -> dict:
+    """Encoded rows as JSON lines; rows packed into parts lie together, part after part. Gives how many rows and bytes they are."""
     if by_part:
         rows = rows.repartitionByRange("part", "filename").sortWithinPartitions("part", F.desc("size_bytes"), "filename")
+    rows, seen = _counted(rows, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
     rows.write.mode("overwrite").json(path)
+    return dict(seen.get)
 
 
 def write_bundle(bundle: DataFrame, path: str) -> None:

@@ -83,7 +83,8 @@ def test_catalog_files(spark, tmp_path):
     assert S.read_catalog(spark, str(tmp_path / "broken.json")).count() == 0
     assert S.read_catalog(spark, str(tmp_path / "absent.json")).count() == 0
     out = str(tmp_path / "out")
-    K.write_catalog(catalog, out, json=True)
+    stats = K.write_catalog(catalog, out, json=True)
+    assert stats == C.catalog_stats(catalog).first().asDict()
     assert spark.read.json(f"{out}/stats").first()["total"] == 2
     lines = [r["filename"] for r in spark.read.json(f"{out}/records").coalesce(1).collect()]
     assert sorted(lines) == ["a.png", "b.png"]

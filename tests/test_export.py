@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from shelfmark.operators import export as E
 from shelfmark.sources import sinks as K
 
@@ -78,3 +80,14 @@ def test_bundle(spark):
     files = spark.createDataFrame([("1", "a", b"12"), ("2", "b", b"3")], "id string, filename string, content binary")
     selection = spark.createDataFrame([(1, 1, "2"), (2, 1, "2")], "user_id bigint, place bigint, item_id string")
     assert [tuple(r) for r in E.bundle_manifest(E.export_bundle(selection, files)).collect()] == [("2", "b", 1)]
+
+
+def test_encoded_rows_are_counted_as_they_are_written(spark, tmp_path):
+    rows = E.base64_rows(spark.createDataFrame([("a.png", bytearray(b"12345")), ("b.txt", bytearray(b"1")), ("c.gif", bytearray(b"123"))], "filename string, content binary"))
+    for by_part in (False, True):
+        out = str(tmp_path / str(by_part))
+        counted = K.write_encoded(rows.withColumn("part", F.lit(1)), out, by_part)
+        written = spark.read.json(out)
+        assert counted == {"rows": written.count(), "bytes": written.agg(F.sum("size_bytes")).first()[0]} == {"rows": 2, "bytes": 8}
+    empty = K.write_encoded(rows.where("filename = 'none'"), str(tmp_path / "empty"))
+    assert empty == {"rows": 0, "bytes": 0}
