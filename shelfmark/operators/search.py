@@ -351,6 +351,32 @@ def sort_hits(hits: DataFrame, docs: DataFrame, sort: dict[str, str] | None = No
     )
 
 
+def search_requests(index: TextIndex, requests: DataFrame, ranking: Ranking = Ranking(), mode: str = "all", hot_rows: int = HOT_ROWS, **options) -> DataFrame:
+    """(query_id, doc_id, score, rank): the hits of each request that pass its filters, in the order it asks for.
+
+    ``requests`` has query_id, term, filters (a map of wanted values by name, or null), sort (a sort key of the documents,
+    or null for the score) and descending. Ties go to smaller doc_ids. All requests are searched, filtered and ranked
+    together; ``options`` are those of ``search``.
+    """
+    hits = search(index, requests.select("query_id", "term"), ranking, locations=False, **options)
+    none = F.create_map().cast("map<string,array<string>>")
+    asked = requests.select(
+        "query_id", F.coalesce("filters", none).alias("__wanted"), F.col("sort").alias("__key"), F.coalesce("descending", F.lit(False)).alias("__down")
+    )
+    rows = hits.join(asked, "query_id").join(index.docs.select("doc_id", "filters", "sort"), "doc_id")
+    rows = rows.where(passes(F.col("filters"), F.col("__wanted"), mode))
+    value = F.coalesce(F.try_element_at("sort", "__key"), F.lit(""))
+    # A request sorts in one direction: in the column of the other one all its hits are alike.
+    by_key = F.col("__key").isNotNull()
+    ordered = rows.select(
+        "query_id", "doc_id", "score",
+        F.when(by_key & ~F.col("__down"), value).otherwise("").alias("__up"), F.when(by_key & F.col("__down"), value).otherwise("").alias("__low"),
+        F.when(by_key, F.lit(0.0)).otherwise(F.col("score")).alias("__score"),
+    )
+    order = [("__up", True), ("__low", False), ("__score", False), ("doc_id", True)]
+    return rank_in_group(ordered, ["query_id"], order, "rank", hot_rows).select("query_id", "doc_id", "score", "rank")
+
+
 def top_hits(hits: DataFrame, limit: int, by: str = "score", ascending: bool = False) -> DataFrame:
     """The first ``limit`` hits per query with their rank. Tasks keep only their own best rows."""
     order = F.asc(by) if ascending else F.desc(by)

@@ -212,6 +212,23 @@ def _(spark, sf):
     return hits.select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
+@query("filtered_requests", f"""WITH {HITS}, every AS (
+  SELECT query_id, doc_id, score FROM hits UNION ALL SELECT {len(TERMS) + 1}, doc_id, 0.0 FROM docs),
+passed AS (
+  SELECT query_id, doc_id, score, 'doc_' || doc_id AS filename FROM every JOIN docs USING (doc_id)
+  WHERE query_id = 1 AND lang = 'en' OR query_id = 3 AND source = 'src1' OR query_id = 4 OR query_id = {len(TERMS) + 1} AND lang = 'fr' AND source = 'src3')
+SELECT query_id, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY
+  CASE WHEN query_id = 1 THEN filename END, CASE WHEN query_id > 4 THEN filename END DESC, score DESC, doc_id) AS rank FROM passed""")
+def _(spark, sf):
+    requests = [
+        (1, TERMS[0], {"lang": ["en"]}, "filename", False), (3, TERMS[2], {"source": ["src1"]}, None, None), (4, TERMS[3], None, None, None),
+        (len(TERMS) + 1, None, {"lang": ["fr"], "source": ["src3"]}, "filename", True),
+    ]
+    schema = "query_id int, term string, filters map<string,array<string>>, sort string, descending boolean"
+    hits = S.search_requests(_index(spark, sf), spark.createDataFrame(requests, schema))
+    return hits.select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+
+
 @query("search_stored_index", f"WITH {HITS} SELECT query_id, doc_id, round(score, 4) AS score FROM hits")
 def _(spark, sf):
     path = scratch_path(spark, "index")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import export as E
-from ..operators import index as X
 from ..operators import search as S
 from ..operators import selection as O
 from ..session import scratch_path

@@ -115,6 +115,19 @@ def test_filters_and_facets(spark, index):
     assert [(r["value"], r["n"]) for r in view.collect()] == [("All", 3), ("b", 3), ("a", 2)]
 
 
+def test_requests_filter_and_sort_each_its_own_way(spark, index):
+    rows = [
+        (1, "cat", None, None, None), (2, "cat", {"kind": ["a"]}, "name", False), (3, "cat", {"kind": ["b"]}, "name", True),
+        (4, None, {"kind": ["a", "b"]}, "absent", True), (5, "cat", {"absent": ["x"]}, None, None),
+    ]
+    requests = spark.createDataFrame(rows, "query_id int, term string, filters map<string,array<string>>, sort string, descending boolean")
+    got = {}
+    for r in S.search_requests(index, requests).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    best = [r["doc_id"] for r in S.top_hits(S.search(index, S.queries_from(spark, ["cat"])), 9).orderBy("rank").collect()]
+    assert got == {1: best, 2: [5, 1], 3: [1, 2, 5], 4: [1, 3, 5]}
+
+
 def test_order_and_pages(spark, index):
     hits = S.search(index, S.queries_from(spark, ["cat"]))
     ranked = S.sort_hits(hits, index.docs, {"name": "asc"}).orderBy("rank").collect()
