@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -10,6 +10,9 @@ from .skew import HOT_ROWS, hot_keys, rank_in_group, skew_join
 from ..session import checkpointed, stored
 
 GROUP = ["__stem", "__ext"]
+# Closed places told one by one in a row; ranks that share a task. Only speed rests on them.
+CLOSED_BLOCK = 512
+RANK_BLOCK = 65_536
 
 
 def _first_per_hash(files: DataFrame, order: list[str]) -> DataFrame:
@@ -72,50 +75,85 @@ def _claims(names: DataFrame) -> DataFrame:
     return bare.unionByName(numbered.select(F.col("__base").alias("__stem"), "__ext", *rest, "__k"))
 
 
-def _runs(closed: DataFrame, hot_rows: int) -> DataFrame:
-    """Closed places (group, __k, __from) as runs of neighbours."""
-    ranked = rank_in_group(closed, GROUP + ["__from"], [("__k", True)], "__i", hot_rows)
-    runs = ranked.groupBy(*GROUP, "__from", (F.col("__k") - F.col("__i")).alias("__run"))
-    return runs.agg(F.min("__k").alias("__k"), F.count(F.lit(1)).alias("__len")).drop("__run")
+def _jumps(closed: DataFrame, hot_rows: int) -> DataFrame:
+    """Per group, from which rank (__at) on how many names in all (__skipped) are passed over.
 
-
-def _jumps(runs: DataFrame) -> DataFrame:
-    """Per group, at which rank and by how many places the choice of names jumps ahead.
-
-    A run closed to ranks from ``__from`` on is reached by rank k - skipped; lower ranks use
-    it up one by one, the others skip what is left.
+    ``closed`` has places (group, __k, __from), closed to ranks from ``__from`` on. With s places
+    skipped before it, place k comes up at rank k - s: lower ranks than ``__from`` still take it,
+    others skip it. Places stand in blocks of their order. A block needs of those before it only
+    how many they skip: all of theirs is the first guess, and blocks are gone through again until
+    no count changes, which the first blocks of a group reach first.
     """
-    def step(state: Column, run: Column) -> Column:
-        reached = run["__k"] - state["skipped"]
-        used = F.least(run["__len"], F.greatest(F.lit(0).cast("bigint"), run["__from"] - reached))
-        left = run["__len"] - used
-        jump = F.struct((reached + used).alias("at"), left.alias("by"))
-        return F.struct(
-            (state["skipped"] + left).alias("skipped"),
-            F.when(left > 0, F.concat(state["jumps"], F.array(jump))).otherwise(state["jumps"]).alias("jumps"),
+    numbered = rank_in_group(closed, GROUP, [("__k", True)], "__i", hot_rows)
+    cut = numbered.withColumn("__block", F.floor((F.col("__i") - 1) / CLOSED_BLOCK))
+    places = F.sort_array(F.collect_list(F.struct("__k", "__from"))).alias("__closed")
+    blocks = stored(cut.groupBy(*GROUP, "__block").agg(places), "closed-places")
+    key = GROUP + ["__block"]
+    in_order = Window.partitionBy(*GROUP).orderBy("__block")
+    counts = blocks.select(*key, F.size("__closed").cast("bigint").alias("__skips"))
+    while True:
+        before = F.sum("__skips").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+        begun = counts.select(
+            *key, "__skips", F.coalesce(before, F.lit(0)).alias("__before"),
+            F.lead("__block").over(in_order).isNotNull().alias("__followed"),
         )
+        told = stored(
+            blocks.join(begun, key).withColumn("__jumps", _skipped_places(F.col("__closed"), F.col("__before"))).drop("__closed"),
+            "skipped-places",
+        )
+        if told.where(F.col("__followed") & (F.size("__jumps") != F.col("__skips"))).isEmpty():
+            break
+        counts = told.select(*key, F.size("__jumps").cast("bigint").alias("__skips"))
+    return _furthest(told.select(*GROUP, F.inline("__jumps")))
 
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("skipped"),
-        F.array().cast("array<struct<at:bigint,by:bigint>>").alias("jumps"),
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("__k", "__len", "__from")))
-    return runs.groupBy(*GROUP).agg(ordered.alias("__runs")).select(
-        *GROUP, F.aggregate("__runs", start, step, lambda s: s["jumps"]).alias("__jumps")
-    )
+
+def _skipped_places(places: Column, before: Column) -> Column:
+    """The places of one block that are skipped: the rank that comes upon each, and how many are skipped with it."""
+    def step(state: Column, place: Column) -> Column:
+        reached = place["__k"] - state["skipped"]
+        jump = F.struct(reached.alias("__at"), (state["skipped"] + 1).alias("__skipped"))
+        further = F.struct((state["skipped"] + 1).alias("skipped"), F.concat(state["jumps"], F.array(jump)).alias("jumps"))
+        return F.when(place["__from"] <= reached, further).otherwise(state)
+
+    start = F.struct(before.alias("skipped"), F.array().cast("array<struct<__at:bigint,__skipped:bigint>>").alias("jumps"))
+    return F.aggregate(places, start, step, lambda s: s["jumps"])
 
 
-def _choose(files: DataFrame, jumps: DataFrame | None, order: list[str], hot: tuple[DataFrame | None]) -> DataFrame:
-    """Each file's place in its group's list of names."""
+def _present_jumps(closed: DataFrame, hot_rows: int) -> DataFrame:
+    """As ``_jumps`` for places closed to every rank: all are skipped, so their numbers say it."""
+    numbered = rank_in_group(closed, GROUP, [("__k", True)], "__i", hot_rows)
+    return _furthest(numbered.select(*GROUP, (F.col("__k") - F.col("__i") + 1).alias("__at"), F.col("__i").alias("__skipped")))
+
+
+def _furthest(jumps: DataFrame) -> DataFrame:
+    return jumps.groupBy(*GROUP, "__at").agg(F.max("__skipped").alias("__skipped"))
+
+
+def _choose(files: DataFrame, jumps: DataFrame | None) -> DataFrame:
+    """Each file's place in its group's list of names: its rank and what is skipped up to it.
+
+    Files and jumps stand in one order of ranks, cut into blocks, so that no group lies in one
+    task; each block is told what the blocks before it skip.
+    """
     if jumps is None:
         return files.withColumn("__place", F.col("__rank"))
-    joined = skew_join(files, jumps, GROUP, "left", order, known=hot)
-    ahead = F.aggregate(
-        F.coalesce("__jumps", F.array().cast("array<struct<at:bigint,by:bigint>>")),
-        F.lit(0).cast("bigint"),
-        lambda total, jump: total + F.when(jump["at"] <= F.col("__rank"), jump["by"]).otherwise(F.lit(0)),
-    )
-    return joined.withColumn("__place", F.col("__rank") + ahead).drop("__jumps")
+    key = GROUP + ["__block"]
+
+    def block(rank: str) -> Column:
+        return F.floor(F.col(rank) / RANK_BLOCK)
+
+    steps = jumps.withColumn("__block", block("__at"))
+    asked = files.select(*GROUP, block("__rank").alias("__block"), F.lit(None).cast("bigint").alias("__skipped"))
+    ends = asked.unionByName(steps.select(*key, "__skipped")).groupBy(*key).agg(F.max("__skipped").alias("__skipped"))
+    earlier = Window.partitionBy(*GROUP).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    begun = ends.select(*key, F.lit(-1).cast("bigint").alias("__rank"), F.max("__skipped").over(earlier).alias("__skipped"))
+    rows = files.withColumn("__block", block("__rank")).withColumn("__file", F.lit(True))
+    for others in (steps.withColumnRenamed("__at", "__rank"), begun):
+        rows = rows.unionByName(others, allowMissingColumns=True)
+    # Rows of one rank count together: a file sees the jump at its own rank.
+    so_far = F.max("__skipped").over(Window.partitionBy(*key).orderBy("__rank"))
+    placed = rows.withColumn("__place", F.col("__rank") + F.coalesce(so_far, F.lit(0))).where("__file")
+    return placed.drop("__block", "__skipped", "__file")
 
 
 def _chosen_stem() -> Column:
@@ -167,25 +205,21 @@ def resolve_name_clash(
         taken = existing.select(N.stem_of(F.col("name")).alias("__stem"), N.extension_of(F.col("name")).alias("__ext"))
         closed = _claims(taken.distinct()).withColumn("__from", F.lit(0).cast("bigint"))
         targets = ranked.select(*GROUP).distinct()
-        present = _runs(closed.join(targets, GROUP, "left_semi"), hot_rows)
+        present = stored(closed.join(targets, GROUP, "left_semi"), "names-in-place")
 
     groups = ranked.select(*GROUP).distinct().withColumn("__root", root)
     meeting = groups.groupBy("__root", "__ext").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     contested = groups.join(meeting, ["__root", "__ext"], "left_semi").select(*GROUP)
     if contested.isEmpty():
-        chosen = _choose(ranked, None if present is None else _jumps(present), order, hot)
-        return _finish(chosen, out)
+        return _finish(_choose(ranked, None if present is None else _present_jumps(present, hot_rows)), out)
 
     # Every round reads the players several times: they are stored, with the few columns rounds need.
     places = ranked.select(*order, *GROUP, "__rank")
     players = stored(skew_join(places, contested, GROUP, "left_semi", order, known=hot), "contested-names")
+    jumps = None if present is None else stored(_present_jumps(present, hot_rows), "jumps")
     lost, state = None, None
     while True:
-        runs = present if lost is None else _runs(lost, hot_rows)
-        if lost is not None and present is not None:
-            runs = runs.unionByName(present)
-        jumps = None if runs is None else _jumps(runs)
-        news = _lost(_choose(players, jumps, order, hot), order)
+        news = _lost(_choose(players, jumps), order)
         known = news if lost is None else news.unionByName(lost)
         merged = stored(known.groupBy(*GROUP, "__k").agg(F.min("__from").alias("__from")), "lost-names")
         # Rows are only added and ranks only fall, so equal totals mean that nothing changed.
@@ -193,7 +227,9 @@ def resolve_name_clash(
         if state[0] == 0 or state == before:
             break
         lost = merged
-    return _finish(_choose(ranked, jumps, order, hot), out)
+        closed = lost if present is None else lost.unionByName(present)
+        jumps = stored(_jumps(closed, hot_rows), "jumps")
+    return _finish(_choose(ranked, jumps), out)
 
 
 def _finish(chosen: DataFrame, out: str) -> DataFrame:

@@ -46,6 +46,31 @@ def test_long_chain_of_native_names_ends(spark):
     assert got["1"] == "a-9.png"
 
 
+def test_a_large_family_meets_as_many_taken_names(spark, monkeypatch):
+    """Every other name is taken: the n-th file gets the n-th odd place, in blocks of any size and a bounded number of jobs."""
+    n = 3_000
+    files = spark.range(n).selectExpr("'x' AS name", "lpad(CAST(id AS STRING), 6, '0') AS file_id", "'a.png' AS target")
+    present = spark.range(n).selectExpr("CASE WHEN id = 0 THEN 'a.png' ELSE concat('a-', 2 * id, '.png') END AS name")
+    for rank_block, hot_rows in ((65_536, 10_000), (100, 500)):
+        monkeypatch.setattr(I, "RANK_BLOCK", rank_block)
+        got = I.resolve_name_clash(files, ["name", "file_id"], present, hot_rows=hot_rows).collect()
+        assert {int(r["file_id"]): r["final_name"] for r in got} == {i: f"a-{2 * i + 1}.png" for i in range(n)}
+
+
+def test_names_lost_to_other_groups_in_small_blocks(spark, monkeypatch):
+    """Files named like the numbered ones stand between them: losses from a rank on, told block by block."""
+    monkeypatch.setattr(I, "CLOSED_BLOCK", 3)
+    monkeypatch.setattr(I, "RANK_BLOCK", 5)
+    rng = random.Random(8)
+    files = [(f"f{rng.randint(0, 99):02d}", f"id{i:03d}", "a.png" if i % 2 else f"a-{rng.randint(1, 60)}.png") for i in range(120)]
+    existing = [f"a-{k}.png" for k in range(5, 60, 7)]
+    rows = spark.createDataFrame(files, "name string, file_id string, target string")
+    present = spark.createDataFrame([(e,) for e in existing], "name string")
+    for hot_rows in (10, 10_000):
+        named = I.resolve_name_clash(rows, ["name", "file_id"], present, hot_rows=hot_rows).collect()
+        assert {r["file_id"]: r["final_name"] for r in named} == one_by_one(files, existing)
+
+
 def test_duplicates(spark):
     files = spark.createDataFrame(
         [("b.png", "2", "h1"), ("a.png", "1", "h1"), ("c.png", "3", "h1"), ("d.png", "4", "h2")], "name string, file_id string, hash string"
