@@ -90,6 +90,9 @@ def _jumps(closed: DataFrame, hot_rows: int) -> DataFrame:
     blocks = stored(cut.groupBy(*GROUP, "__block").agg(places), "closed-places")
     key = GROUP + ["__block"]
     in_order = Window.partitionBy(*GROUP).orderBy("__block")
+    if blocks.where("__block > 0").isEmpty():
+        alone = _skipped_places(F.col("__closed"), F.lit(0).cast("bigint"))
+        return _furthest(blocks.select(*GROUP, F.inline(alone)))
     counts = blocks.select(*key, F.size("__closed").cast("bigint").alias("__skips"))
     while True:
         before = F.sum("__skips").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
@@ -143,7 +146,9 @@ def _choose(files: DataFrame, jumps: DataFrame | None) -> DataFrame:
         return F.floor(F.col(rank) / RANK_BLOCK)
 
     steps = jumps.withColumn("__block", block("__at"))
-    asked = files.select(*GROUP, block("__rank").alias("__block"), F.lit(None).cast("bigint").alias("__skipped"))
+    # Nothing comes before the first block.
+    later = files.where(F.col("__rank") >= RANK_BLOCK)
+    asked = later.select(*GROUP, block("__rank").alias("__block"), F.lit(None).cast("bigint").alias("__skipped"))
     ends = asked.unionByName(steps.select(*key, "__skipped")).groupBy(*key).agg(F.max("__skipped").alias("__skipped"))
     earlier = Window.partitionBy(*GROUP).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     begun = ends.select(*key, F.lit(-1).cast("bigint").alias("__rank"), F.max("__skipped").over(earlier).alias("__skipped"))
