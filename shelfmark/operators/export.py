@@ -129,7 +129,8 @@ def pack_by_size(
     sizes = F.least(F.col("size").cast("bigint"), F.lit(max_bytes).cast("bigint"))
     capped = files.withColumn("__size", sizes)
     counts = capped.groupBy(F.col("__size").alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    plan = counts.coalesce(1).sortWithinPartitions(F.desc("size")).mapInPandas(
+    # Counted in parallel; only the finished counts meet in one task.
+    plan = counts.repartition(1).sortWithinPartitions(F.desc("size")).mapInPandas(
         _size_plan(max_bytes), "size bigint, part bigint, head bigint, each bigint"
     )
     by = ([("size", False)] if "size" not in order else []) + [(c, True) for c in order]

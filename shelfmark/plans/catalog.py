@@ -124,20 +124,30 @@ def _(spark, sf):
     return I.duplicate_report(_hashed(spark, sf), ORDER)
 
 
-def _sql_resolution(rows: str) -> str:
-    """Names given one by one in order, per family of names that can meet; ``rows`` has name, file_id, target."""
-    return f"""parted AS (
+NO_NAMES = "SELECT ''::VARCHAR AS name WHERE false"
+
+
+def _sql_resolution(rows: str, present: str = NO_NAMES) -> str:
+    """Names given one by one in order, per family of names that can meet; ``rows`` has name, file_id, target.
+
+    ``present`` selects the names that are taken from the start.
+    """
+    return f"""held AS (
+  SELECT regexp_replace({V.sql_stem('name')}, '(-[1-9][0-9]*)+$', '') || {V.sql_ext('name')} AS family, list(name) AS names
+  FROM ({present}) GROUP BY 1),
+parted AS (
   SELECT *, {V.sql_stem('target')} AS stem, {V.sql_ext('target')} AS ext FROM {rows}),
 families AS (
   SELECT *, regexp_replace(stem, '(-[1-9][0-9]*)+$', '') || ext AS family FROM parted),
 queue AS (
   SELECT *, row_number() OVER (PARTITION BY family ORDER BY name, file_id) AS n FROM families),
 given AS (
-  SELECT DISTINCT family, 0::BIGINT AS n, ''::VARCHAR AS file_id, ''::VARCHAR AS final_name, []::VARCHAR[] AS taken FROM queue
+  SELECT q.family, 0::BIGINT AS n, ''::VARCHAR AS file_id, ''::VARCHAR AS final_name, coalesce(h.names, []::VARCHAR[]) AS taken
+  FROM (SELECT DISTINCT family FROM queue) q LEFT JOIN held h ON h.family = q.family
   UNION ALL
   SELECT family, n, file_id, final_name, list_append(taken, final_name) FROM (
     SELECT q.family, q.n, q.file_id, g.taken,
-      list_filter(list_transform(range(0, q.n), lambda k: q.stem || CASE WHEN k = 0 THEN '' ELSE '-' || k END || q.ext),
+      list_filter(list_transform(range(0, len(g.taken) + 1), lambda k: q.stem || CASE WHEN k = 0 THEN '' ELSE '-' || k END || q.ext),
         lambda c: NOT list_contains(g.taken, c))[1] AS final_name
     FROM given g JOIN queue q ON q.family = g.family AND q.n = g.n + 1))"""
 
@@ -206,6 +216,41 @@ def _(spark, sf):
     return I.import_summary(I.import_plan(V.raw_names(spark, sf)))
 
 
+# The folder files arrive in: the names above, and for every other part a numbered one that follows.
+FILLED = f"""{IN_PLACE}, filled AS (
+  SELECT name, hash FROM in_place UNION ALL
+  SELECT replace(p_name, ' ', '') || '-1.png', sha256(min(p_brand) || '/' || min(p_size))
+  FROM part GROUP BY p_name HAVING min(p_partkey) % 2 = 0)"""
+FILLED_PLAN = f"""{V.RAW_NAMES}, {FILLED}, shortened AS (
+  SELECT name, file_id, hash, {V.sql_trimmed('name')} AS short,
+    row_number() OVER (PARTITION BY hash ORDER BY name, file_id) AS copy
+  FROM raw_names WHERE regexp_matches(lower(name), '\\.(png|jpg|jpeg|gif|webp|svg)$')),
+targets AS (SELECT *, {V.sql_normalized('short')} AS target FROM shortened),
+judged AS (
+  SELECT t.*, CASE WHEN copy > 1 THEN 'duplicate'
+    WHEN EXISTS (SELECT 1 FROM filled f WHERE f.name = t.target AND f.hash = t.hash)
+      OR EXISTS (SELECT 1 FROM filled f, filled b WHERE b.name = t.target AND f.hash = t.hash
+        AND f.name = {V.sql_stem('t.target')} || '-1' || {V.sql_ext('t.target')}) THEN 'duplicate_existing'
+    ELSE 'imported' END AS status FROM targets t),
+entering AS (SELECT * FROM judged WHERE status = 'imported'),
+{_sql_resolution('entering', 'SELECT name FROM filled')}"""
+
+
+def _filled(spark, sf):
+    parts = V.table(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"), F.min("p_brand").alias("brand"), F.min("p_size").alias("size"))
+    numbered = parts.where("k % 2 = 0").select(
+        F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit("-1.png")).alias("name"), F.sha2(F.concat("brand", F.lit("/"), "size"), 256).alias("hash")
+    )
+    return _in_place(spark, sf).unionByName(numbered)
+
+
+@query("import_into_filled", f"""WITH RECURSIVE {FILLED_PLAN}
+SELECT j.file_id, j.target, j.status, g.final_name FROM judged j LEFT JOIN given g ON g.file_id = j.file_id AND g.n > 0""")
+def _(spark, sf):
+    plan = I.import_plan(V.raw_names(spark, sf), _filled(spark, sf))
+    return plan.select("file_id", "target", "status", "final_name")
+
+
 # ---- conversions --------------------------------------------------------------------------
 
 STEMS = f"""{V.ASSETS}, stems AS (

@@ -548,6 +548,16 @@ def _(spark, sf):
     return P.hit_excerpts(hits, index.docs).select("query_id", "doc_id", "excerpt_start")
 
 
+@query("excerpt_start_long", f"WITH {SPOTS} SELECT query_id, doc_id, excerpt_start::INT AS excerpt_start FROM starts")
+def _(spark, sf):
+    words = X.document_terms(V.corpus(spark, sf)).where(F.col("term_exact").isin("the", "en"))
+    hits = words.select(
+        F.when(F.col("term_exact") == "the", 1).otherwise(2).alias("query_id"), "doc_id", F.col("position").alias("location"),
+        F.lit(1.0).alias("balanced_score"),
+    )
+    return P.excerpt_starts(hits, ["query_id", "doc_id"], 30)
+
+
 @query("build_excerpt", f"""WITH {SPOTS}, placed AS (
   SELECT s.*, regexp_split_to_array(replace(replace(text, '<', '&lt;'), '>', '&gt;'), '{V.BLANK}+') AS w
   FROM starts s JOIN docs USING (doc_id)),
