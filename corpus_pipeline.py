@@ -25,7 +25,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more in five-word shingles: the one with the smallest doc_id."""
+    """One document of each group linked by a similarity of 0.8 or more in five-word shingles: the one with the smallest doc_id.
+
+    SimHash by anchor-point covering links first, MinHash bands find what its bits leave apart; every link is compared exactly.
+    """
     return copies.survivors(docs).select(*docs.columns)
 
 

@@ -1,12 +1,16 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash and exact Jaccard similarity of word shingles.
 
-Candidates come from MinHash bands: BANDS times ROWS minima per set of shingles, sets that agree in all minima of a
+First, SimHash by anchor-point covering (``simhash``) over the five-word shingles brings together the sets whose
+fingerprints differ in few bits; each of its links is compared exactly before it holds. Near copies by the bound below
+differ in more bits than any covering can afford, so what the fingerprints leave apart goes on to MinHash bands.
+
+Candidates there come from MinHash bands: BANDS times ROWS minima per set of shingles, sets that agree in all minima of a
 band share a bucket. A pair of similarity s shares none with a chance of (1 - s^ROWS)^BANDS, 3 in a million at 0.8 and
 less above. Each candidate pair that is not connected yet is compared exactly before it is linked. A bucket first
 compares one of its sets with all others, so that large groups of near copies cost a few rows each. Sets that then still
 share a bucket without being connected go through an exact filter: sets of similarity s or more share one of their rarest
-shingles, as many as may differ, and no more than the shingles that any other of these sets holds. Families of texts
-with a common passage, alike but not alike enough, have too many shingles of their own for that and meet nobody.
+shingles, as many as may differ, and from the first one they share on, both hold enough that others hold, too. Families
+of texts with a common passage, alike but not alike enough, have too few shingles from there on and meet nobody.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.graph import components
-from shelfmark.llm.simhash import shingle_hashes
+from shelfmark.llm.simhash import links, majority, shingle_hashes
 from shelfmark.llm.texts import as_bytes, slices
 from shelfmark.session import stored
 
@@ -65,16 +69,30 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(``key``, ``point``, ``n``, ``bands``): the set's number and size, and its bands, none for texts without words."""
+    """(``key``, ``point``, ``n``, ``fp``, ``bands``): the set's number, size and fingerprint, and its bands, none for texts without words."""
     def run(batches):
         for batch in slices(batches, text):
             sets = [shingles(value) for value in as_bytes(batch, text)]
             columns = [batch.column(key), pa.array(np.array([name_of(s) for s in sets], np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int32())]
+            columns.append(pa.array(np.array([majority(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)))
             columns.append(pa.array([bands(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "point", "n", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "point", "n", "fp", "bands"])
 
     rows = docs.select(key, F.col(text).cast("string").alias(text))
-    return rows.mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, point bigint, n int, bands array<bigint>")
+    return rows.mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, point bigint, n int, fp bigint, bands array<bigint>")
+
+
+def fingerprint_pairs(points: DataFrame) -> DataFrame:
+    """(``a``, ``b``) of ``points`` (``point``, ``n``, ``fp``): sets of one fingerprint, and of fingerprints that SimHash links.
+
+    As many pairs as sets, at most: one set stands for all of its fingerprint, and links come as stars.
+    """
+    own = points.where("n > 0").select("fp", "point")
+    named = stored(own.groupBy("fp").agg(F.min("point").alias("first")), "fingerprints")
+    same = own.join(named, "fp").where("point != first").select(F.col("first").alias("a"), F.col("point").alias("b"))
+    near = stored(links(named.select("fp")), "close").distinct()
+    left, right = named.select(F.col("fp").alias("a"), F.col("first").alias("p")), named.select(F.col("fp").alias("b"), F.col("first").alias("point"))
+    return same.unionByName(_met(near.join(left, "a").join(right, "b").select("p", "point"), None))
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -139,9 +157,10 @@ def rare_pairs(points: DataFrame, sets: DataFrame, checked: DataFrame | None = N
     """(``a``, ``b``): all pairs of ``points`` (``point``, ``n``, ``root``) with another root that can be similar enough.
 
     Of a set's n shingles, those that no other of these sets holds cannot be common to a pair: ``m`` are left. A pair
-    of similarity u / d has at least (n + n') * u / (u + d) in common, so the m of both must reach that; and the rarest
-    n - n * u / d + 1 shingles of both sets, in one order of all, have one in common. The smaller set of a pair looks
-    for sizes from its own up to the largest that its m allows.
+    of similarity u / d has at least (n + n') * u / (u + d) in common. In one order of all shingles, the rarest first, what
+    two sets share stands from their first common shingle on, so the m of both must reach that number counted from there:
+    a pair meets at its first common shingle or not at all, and texts that share one passage and little else do not. The smaller
+    set of a pair looks for sizes from its own up to the largest that its m allows.
     """
     up, down = SIMILARITY
     tokens = stored(_unpacked(sets.join(points.select("point"), "point", "left_semi")), "tokens")
@@ -152,7 +171,9 @@ def rare_pairs(points: DataFrame, sets: DataFrame, checked: DataFrame | None = N
     last = F.col("m") - F.ceil(F.col("n") * up / F.lit(float(down))) + 1
     rarest = Window.partitionBy("point").orderBy("df", "token")
     rows = shared.join(fitting.select("point", "n", "m", "root", last.alias("last")), "point").withColumn("place", F.row_number().over(rarest))
-    rows = stored(rows.where("place <= last").select("token", "point", "n", "m", "root"), "rarest")
+    # From a shingle on, so many of a set's shingles are left.
+    rows = rows.where("place <= last").select("token", "point", "n", (F.col("m") - F.col("place") + 1).alias("m"), "root")
+    rows = stored(rows, "rarest")
     size = lambda n: F.floor(F.log(SIZE_STEP, n)).cast("int")
     largest = F.least(F.col("n") * down / F.lit(float(up)), F.col("m") * (up + down) / F.lit(float(up)) - F.col("n"))
     asking = rows.where(largest >= F.col("n")).withColumn("size", F.explode(F.sequence(size(F.col("n").cast("double")), size(largest + 1e-6))))
@@ -172,16 +193,20 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """(``key``, ``component``): the smallest key that links reach from each row; links join texts of similarity 0.8 or more.
 
     Texts of equal shingles are one point, so a group of copies costs one row; null, empty and blank texts are copies
-    of each other. ``docs`` is read twice, so its ``key`` must be stored.
+    of each other. SimHash's links come first, what they leave apart goes through the bands. ``docs`` is read twice, so
+    its ``key`` must be stored.
     """
     marked = stored(signatures(docs, key, text), "signatures")
-    points = marked.groupBy("point").agg(F.min(key).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    placed = points.select("point", "n", F.posexplode("bands").alias("band", "bucket"))
+    points = stored(marked.groupBy("point").agg(F.min(key).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp")), "points")
+    near = stored(fingerprint_pairs(points.select("point", "n", "fp")), "pairs")
+    banded = marked.groupBy("point").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    placed = banded.select("point", "n", F.posexplode("bands").alias("band", "bucket"))
     full = placed.groupBy("bucket").count().where("count > 1")
     held = stored(placed.join(full, "bucket"), "held")
     crowds = held.groupBy("point").agg(F.sum("count").alias("crowd"))
     buckets = stored(held.drop("count").join(crowds, "point"), "buckets")
-    wanted = marked.join(buckets.select("point").distinct(), "point", "left_semi").groupBy("point").agg(F.min(key).alias(key))
+    met = buckets.select("point").union(near.select("a")).union(near.select("b")).distinct()
+    wanted = points.join(met, "point", "left_semi").select("point", F.col("least").alias(key))
 
     def hold(batches):
         for batch in slices(batches, text):
@@ -192,10 +217,13 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     sets = stored(texts.mapInArrow(hold, "point bigint, held binary"), "sets")
 
     found, roots = [], None
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(-1, STAR_ROUNDS + 1):
         some = buckets.where(F.col("band") < FIRST_BANDS) if turn == 0 else buckets
         checked = reduce(DataFrame.union, [f.select("a", "b") for f in found]) if found else None
-        pairs = stored(_stars(some, roots, checked, turn) if turn < STAR_ROUNDS else _left(buckets, sets, roots, checked), "pairs")
+        if turn < 0:
+            pairs = near
+        else:
+            pairs = stored(_stars(some, roots, checked, turn) if turn < STAR_ROUNDS else _left(buckets, sets, roots, checked), "pairs")
         if pairs.isEmpty():
             continue
         found.append(stored(_compared(pairs, sets), "compared"))

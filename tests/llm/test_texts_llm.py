@@ -349,6 +349,40 @@ def test_rare_pairs_hold_all_similar_ones_and_no_family(spark):
     assert copies.rare_pairs(one_root, table).collect() == []
 
 
+def test_rare_pairs_do_not_meet_by_the_shingles_behind_the_first_common_one(spark):
+    rng = np.random.default_rng(24)
+    draw = lambda n: [int(x) for x in rng.integers(1, 1 << 62, n)]
+    # Each set has 85 of 100 shingles in common with all others, and the rest with one set of another size.
+    core, held = draw(85), []
+    for _ in range(100):
+        rest = draw(15)
+        held += [core + rest, rest + draw(500)]
+    sets = [np.unique(np.array(h, np.int64)) for h in held]
+    points = spark.createDataFrame([(i, len(x), i) for i, x in enumerate(sets)], "point bigint, n int, root bigint")
+    table = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "point bigint, held binary")
+    assert copies.rare_pairs(points, table).collect() == []
+
+
+def test_near_copies_go_through_fingerprints(spark, docs, monkeypatch):
+    rng = np.random.default_rng(25)
+    base = [str(x) for x in rng.integers(0, 10**7, 1000)]
+    texts = [" ".join(base), " ".join(base + ["more"]), " ".join(base[:500]), "of few words", None]
+    sets = [copies.shingles((t or "").encode()) for t in texts]
+    rows = [(i, len(x), simhash.majority(x) if len(x) else 0) for i, x in enumerate(sets)]
+    rows = [(i, n, int(np.uint64(fp).astype(np.int64))) for i, n, fp in rows]
+    # One fingerprint of two sets is a pair, too; texts without words have none.
+    rows.append((9, 7, rows[3][2]))
+    points = spark.createDataFrame(rows, "point bigint, n int, fp bigint")
+    met = {(r.a, r.b) for r in copies.fingerprint_pairs(points).collect()}
+    assert (simhash.majority(sets[0]) ^ simhash.majority(sets[1])).bit_count() <= simhash.DISTANCE
+    assert met == {(0, 1), (3, 9)}
+    # Their links count even for texts that share no band, and only after the exact comparison.
+    monkeypatch.setattr(copies, "FIRST_BANDS", 0)
+    monkeypatch.setattr(copies, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(copies, "rare_pairs", lambda points, sets, checked=None: spark.createDataFrame([], "a bigint, b bigint"))
+    assert {r.doc_id: r.component for r in copies.groups(docs(texts)).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+
+
 def test_near_copies_at_the_bound_are_found(spark, docs):
     rng = np.random.default_rng(22)
     texts, planted = [], []
