@@ -1,5 +1,7 @@
 """Building and storing a text index: no shuffle per word, rows that share an id, frequent terms."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +55,62 @@ def test_stored_postings_and_dictionary(spark, tmp_path, hot_rows):
     assert [bounds[b]["n"] for b in (0, 1)] == [128, 173]
     found = S.search(index, S.queries_from(spark, ["cat"]), locations=False).count()
     assert found == 200
+
+
+def test_lists_of_postings_hold_the_postings_of_the_rows(spark):
+    texts = [*TEXTS, "the cat", "the the Cat", None, ""] * 40
+    rows = [(i if i % 11 else None, [None, "en", "fr"][i % 3], t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    bounds = X.term_bounds(docs, 1, 8)
+    assert len(bounds) > 3 and bounds == sorted(set(bounds))
+    lists = X.postings_by_range(docs, bounds).cache()
+    columns = ["lang", "term", "term_exact", "doc_id", "n_terms", "tf", "positions"]
+    row = lambda r: tuple(tuple(v) if isinstance(v, list) else v for v in r)
+    got = sorted(row(r) for r in lists.select("lang", "term", "term_exact", F.inline("postings")).select(*columns).collect())
+    wanted = X.postings_by_row(docs).where("lang IS NOT NULL AND doc_id IS NOT NULL").select(*columns)
+    assert got == sorted(row(r) for r in wanted.collect())
+    # A frequent term is shuffled as one row per task, language and spelling, and parts are in the order of terms.
+    the = lists.where("term = 'the' AND lang = 'en'").collect()
+    assert len(the) <= 2 * len({r["term_exact"] for r in the}) and sum(len(r["postings"]) for r in the) > 30
+    ranges = sorted((r["part"], *(r[c].encode() for c in columns[:3])) for r in lists.collect())
+    assert [r[1:] for r in ranges] == sorted(r[1:] for r in ranges) and ranges[-1][0] > 3
+
+
+@pytest.mark.parametrize("hot_rows", [2_000_000, 30])
+def test_an_index_from_lists_is_the_one_from_postings(spark, tmp_path, hot_rows):
+    texts = [f"the {'cat ' * (i % 5)}w{i % 90} {'café' if i % 7 else 'cafe'}" for i in range(400)]
+    rows = [(i, [None, "en", "fr"][min(i % 13, 2)], t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, (None, "en", "the one without a name")], SCHEMA).repartition(3)
+    built = X.build_index(docs)
+    assert built.source is not None
+    found = []
+    for name, index in (("lists", built), ("rows", replace(built, source=None))):
+        X.write_index(index, str(tmp_path / name), parts=8, hot_rows=hot_rows)
+        stored = X.read_index(spark, str(tmp_path / name))
+        terms = stored.terms.select("lang", "term", "term_exact", "term_id", "part", "doc_frequency", "occurrences")
+        of = terms.select("term_id", "term", "term_exact")
+        tables = [
+            terms.drop("term_id", "part"), stored.blocks.join(of, "term_id").drop("term_id", "part"),
+            stored.postings.join(of, "term_id").drop("term_id", "part").withColumn("positions", F.col("positions").cast("string")),
+        ]
+        found.append([sorted(tuple(r.asDict()[c] for c in sorted(t.columns)) for r in t.collect()) for t in tables])
+        # Numbers follow the order of terms, but for those behind the ranges.
+        cold = sorted((r["term_id"], r["lang"].encode(), r["term"].encode(), r["term_exact"].encode()) for r in terms.where("part < 8").collect())
+        assert [r[1:] for r in cold] == sorted(r[1:] for r in cold)
+    assert found[0] == found[1]
+
+
+def test_writing_an_index_sorts_no_postings_to_count_blocks(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, "en", f"the cat w{i}") for i in range(50)], SCHEMA)
+    kind, seen = type(docs), []
+    grouped = kind.groupBy
+
+    def noted(self, *columns):
+        seen.append(columns)
+        return grouped(self, *columns)
+
+    monkeypatch.setattr(kind, "groupBy", noted)
+    X.write_index(X.build_index(docs), str(tmp_path))
+    # With the strings as keys, all that is kept per block has a fixed width: it is counted by hashing.
+    blocks = [columns for columns in seen if "block" in columns]
+    assert blocks and all({"term", "term_exact"} <= set(columns) for columns in blocks)
