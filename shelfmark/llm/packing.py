@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.texts import as_bytes, slices, with_row
-from shelfmark.llm.tokens import WordIds
+from shelfmark.llm.tokens import word_ids
 
 CAPACITY = 2048
 END_ID = 1
@@ -62,7 +62,7 @@ def tokenized(docs: DataFrame, tokenizer: str, text: str = "text", end: int = EN
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        encoder = WordIds(tokenizer)
+        encoder = word_ids(tokenizer)
         for batch in slices(batches, text):
             ids = encoder.encode([value or b"" for value in as_bytes(batch, text)], end)
             columns = [batch.column("doc_id"), batch.column("row"), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -19,7 +20,7 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 SETTLED = regex.compile(
     r"[\x21-\x7E\xA1-\u02AF\u0370-\u052F\u1E00-\u1EFF\u2010-\u2027\u2030-\u203A\u3041-\u30FE\u4E00-\u9FFF\uAC00-\uD7A3]*"
 )
-MOST_KEPT = 400_000
+MOST_KEPT = 300_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -29,47 +30,60 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in prints else chr(256 + hidden.index(b)) for b in range(256)}
 
 
+class PieceIds(dict):
+    """The ids of each piece met, as 32-bit numbers in a row."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.tokenize, self.letters = tokenizer.model.tokenize, _byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        # Printing ASCII stands for itself.
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = self[piece] = array("I", [token.id for token in self.tokenize(spelled)]).tobytes()
+        return ids
+
+
 class WordIds(dict):
-    """Number of each word met; ``flat[starts[n]:starts[n + 1]]`` are the ids of word ``n``."""
+    """Number of each word met; the 32-bit numbers ``starts[n]`` to ``starts[n + 1]`` of ``flat`` are the ids of word ``n``."""
 
     def __init__(self, path: str):
         super().__init__()
-        self.tokenizer, self.letters, self.pieces = Tokenizer.from_file(path), _byte_letters(), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = PieceIds(self.tokenizer)
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.pieces.clear()
-        self.flat, self.starts = array("I"), array("Q", [0])
+        self.flat, self.starts = bytearray(), array("Q", [0])
 
     def __missing__(self, word: bytes) -> int:
+        # A word of ASCII letters is one piece. A word whose ids cannot be found is not kept.
+        ids = self.pieces[word.lower().decode()] if word.isalpha() else self._ids(word.decode())
         number = self[word] = len(self)
-        self.flat.extend(self._ids(word.decode()))
-        self.starts.append(len(self.flat))
+        self.flat += ids
+        self.starts.append(len(self.flat) // 4)
         return number
 
-    def _ids(self, word: str) -> list[int]:
-        if not SETTLED.fullmatch(word) or "<|" in word:
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
+    def _ids(self, word: str) -> bytes:
+        if "<|" in word or not SETTLED.fullmatch(word):
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         # The library lower-cases letter by letter, hence without a final form of sigma.
-        found: list[int] = []
-        for piece in PIECES.findall(unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                spelled = piece.encode().decode("latin-1").translate(self.letters)
-                ids = self.pieces[piece] = [token.id for token in self.tokenizer.model.tokenize(spelled)]
-            found += ids
-        return found
+        small = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+        # Letters alone are one piece.
+        return self.pieces[small] if small.isalpha() else b"".join(map(self.pieces.__getitem__, PIECES.findall(small)))
 
     def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
-        """The ids of each text, closed by ``end``. Words are kept from call to call up to a bound."""
-        if len(self) > MOST_KEPT or len(self.pieces) > MOST_KEPT:
+        """The ids of each text, closed by ``end``. Words, and pieces, are kept from call to call up to a bound."""
+        if len(self) > MOST_KEPT:
             self.forget()
+        if len(self.pieces) > MOST_KEPT:
+            self.pieces.clear()
         numbered = []
         for text in texts:
             words = text.split()
             numbered.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
-        starts, flat = np.array(self.starts, np.int64), np.array(self.flat, np.uint32)
+        starts, flat = np.array(self.starts, np.int64), np.frombuffer(bytes(self.flat), np.uint32)
         result = []
         for numbers in numbered:
             first, sizes = starts[numbers], starts[numbers + 1] - starts[numbers]
@@ -80,3 +94,9 @@ class WordIds(dict):
             ids[-1] = end
             result.append(ids)
         return result
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The worker's ``WordIds`` of a file: the tasks that a worker runs share the words it has met."""
+    return WordIds(path)

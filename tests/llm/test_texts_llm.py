@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfmark.llm import copies, katz, langid, mixing, packing, pages, secrets, simhash, toxicity
+from shelfmark.llm import copies, katz, langid, mixing, packing, pages, secrets, simhash, tokens, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -176,6 +176,27 @@ def test_links_of_fingerprints_are_those_of_brute_force(spark, hot):
 
 # Packing, mixing, secrets
 
+def test_tasks_share_words_and_pieces_outlive_them(monkeypatch):
+    encoder = tokens.word_ids(TOKENIZER)
+    assert tokens.word_ids(TOKENIZER) is encoder
+    met, cut = [], encoder.pieces.tokenize
+    monkeypatch.setattr(encoder.pieces, "tokenize", lambda spelled: met.append(spelled) or cut(spelled))
+    monkeypatch.setattr(tokens, "MOST_KEPT", 0)
+    texts = ["Quixoblat quixoblat, (QUIXOBLAT) don't ΣΑΣ é\u0301e <|a|> 12 straße", "", "quixoblat \x01 İx Ａ"]
+    wanted = [encoder.tokenizer.encode(text, add_special_tokens=False).ids + [1] for text in texts]
+    encode = lambda: [ids.tolist() for ids in encoder.encode([text.encode() for text in texts], 1)]
+    assert encode() == wanted and met.count("quixoblat") == 1
+    # Pieces are still known when words have been forgotten.
+    monkeypatch.setattr(tokens, "MOST_KEPT", 300_000)
+    encoder.forget()
+    met.clear()
+    assert encode() == wanted and not met
+    # A word that cannot be read leaves nothing behind.
+    with pytest.raises(UnicodeDecodeError):
+        encoder.encode([b"\xff"], 1)
+    assert encode() == wanted
+
+
 def test_packing_is_a_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
