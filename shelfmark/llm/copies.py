@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.graph import components
 from shelfmark.llm.simhash import links, majority, shingle_hashes
-from shelfmark.llm.texts import as_bytes, slices
+from shelfmark.llm.texts import as_bytes, let_go, slices
 from shelfmark.session import stored
 
 # Words per shingle, and the least similarity of a link as a fraction: compared in whole numbers.
@@ -71,6 +71,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(``key``, ``point``, ``n``, ``fp``, ``bands``): the set's number, size and fingerprint, and its bands, none for texts without words."""
     def run(batches):
+        let_go()
         for batch in slices(batches, text):
             sets = [shingles(value) for value in as_bytes(batch, text)]
             columns = [batch.column(key), pa.array(np.array([name_of(s) for s in sets], np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int32())]
@@ -145,6 +146,7 @@ def _stars(buckets: DataFrame, roots: DataFrame | None, checked: DataFrame | Non
 def _unpacked(sets: DataFrame) -> DataFrame:
     """(``point``, ``token``): the shingles of the sets, one per row."""
     def run(batches):
+        let_go()
         for batch in slices(batches, "held", 1 << 22):
             held = [np.frombuffer(x, np.int64) for x in batch.column("held").to_pylist()]
             points = np.repeat(batch.column("point").to_numpy(), [len(x) for x in held])
@@ -209,6 +211,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     wanted = points.join(met, "point", "left_semi").select("point", F.col("least").alias(key))
 
     def hold(batches):
+        let_go()
         for batch in slices(batches, text):
             held = [shingles(value).tobytes() for value in as_bytes(batch, text)]
             yield pa.RecordBatch.from_arrays([batch.column("point"), pa.array(held, pa.binary())], names=["point", "held"])

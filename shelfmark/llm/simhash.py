@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.graph import components, local_stars
-from shelfmark.llm.texts import as_bytes, slices, words_of
+from shelfmark.llm.texts import as_bytes, let_go, slices, words_of
 from shelfmark.session import stored
 
 SEED = 42
@@ -181,6 +181,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, task_rows: int = TASK_R
     """
     def spread(reach: int):
         def run(batches):
+            let_go()
             code = Code(reach)
             for batch in batches:
                 values = batch.column("fp").to_numpy(zero_copy_only=False)

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import unicodedata
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from shelfmark.llm.texts import kept
+
 # Fixed: how the vocabulary's tokenizer cuts a normalized word into pieces.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 # Scripts whose letters and cases every Unicode version agrees on; other words take the library's whole path.
@@ -96,7 +97,6 @@ class WordIds(dict):
         return result
 
 
-@lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
-    """The worker's ``WordIds`` of a file: the tasks that a worker runs share the words it has met."""
-    return WordIds(path)
+    """The worker's ``WordIds`` of a file: the tasks that a worker runs share the words it has met, until it lets go of them."""
+    return kept(f"word_ids {path}", lambda: WordIds(path))

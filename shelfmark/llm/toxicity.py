@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.texts import as_bytes, slices
+from shelfmark.llm.texts import as_bytes, let_go, slices
 from shelfmark.session import stored
 
 # Bounds of the fit: labelled documents it looks at, and words it keeps as features.
@@ -92,6 +92,7 @@ def labelled(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int
 def signal_words(sample: DataFrame, chance: float = CHANCE, most: int = MOST_WORDS) -> list[str]:
     """Words whose documents are toxic more often than chance allows, the least likely ones first."""
     def count(batches):
+        let_go()
         for batch in slices(batches, "text"):
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for value, toxic in zip(as_bytes(batch, "text"), batch.column("toxic").to_pylist()):
@@ -170,6 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SA
         return Model()
 
     def features(batches):
+        let_go()
         lookup = Lookup(words)
         for batch in slices(batches, "text"):
             counted = _counted(batch, "text", lookup)
@@ -199,6 +201,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kept = [f for f in docs.schema.fields if f.name not in ("score", "severity", "toxic")]
 
     def run(batches):
+        let_go()
         lookup = Lookup(words)
         for batch in slices(batches, text):
             counted = _counted(batch, text, lookup) if words else [{}] * batch.num_rows

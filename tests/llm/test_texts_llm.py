@@ -2,13 +2,16 @@
 
 import math
 import re
+import weakref
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 import corpus_pipeline
 from shelfmark.llm import copies, katz, langid, mixing, packing, pages, secrets, simhash, tokens, toxicity
@@ -197,6 +200,28 @@ def test_tasks_share_words_and_pieces_outlive_them(monkeypatch):
     assert encode() == wanted
 
 
+def test_later_stages_let_go_of_words(spark):
+    class Table:
+        """Runs a stage's function in this process, over one row."""
+
+        schema = StructType().add("doc_id", "long").add("text", "string")
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            row = {"doc_id": 1, "text": "a word", "point": 5, "held": np.arange(3).tobytes(), "fp": 5}
+            assert list(run(iter([pa.RecordBatch.from_pylist([row])])))
+            return self
+
+    stages = [lambda d: toxicity.score(d, toxicity.Model({"word": 1.0}, [0.5])), lambda d: copies.signatures(d, "doc_id", "text"), copies._unpacked]
+    for stage in stages:
+        met = weakref.ref(tokens.word_ids(TOKENIZER))
+        assert met() is tokens.word_ids(TOKENIZER)
+        stage(Table())
+        assert met() is None
+
+
 def test_packing_is_a_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
