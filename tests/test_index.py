@@ -2,9 +2,11 @@
 
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark.functions import text as T
 from shelfmark.operators import index as X
 from shelfmark.operators import search as S
 
@@ -114,3 +116,45 @@ def test_writing_an_index_sorts_no_postings_to_count_blocks(spark, tmp_path, mon
     # With the strings as keys, all that is kept per block has a fixed width: it is counted by hashing.
     blocks = [columns for columns in seen if "block" in columns]
     assert blocks and all({"term", "term_exact"} <= set(columns) for columns in blocks)
+
+
+def test_a_range_is_numbered_and_placed_without_windows_over_rows(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, "en", f"the cat w{i}") for i in range(200)], SCHEMA)
+    monkeypatch.setattr(X, "Window", None)
+    X.write_index(X.build_index(docs), str(tmp_path))
+    rows = {r["term"]: r for r in X.read_index(spark, str(tmp_path)).terms.collect()}
+    assert (rows["the"]["doc_frequency"], rows["w7"]["occurrences"], len(rows)) == (200, 1, 202)
+
+
+SETTLED = [
+    " a  lead", "\ta\x0bb\x0cc\r\nd ", "L'Été, l’été «ÉTÉ» — ¡Ñandú! §3 ¶", "don't -- ... a_b a·b", "Straße ẞ ǅ ŉ", "Жук й И\u0486и \u0486 ё", "漢字、仮名ガ が 한글",
+    "ΑΒΓ ώ", "x\xadz \xad", "", " ", "!", "Ǆ ½ x² ‰ ′a″",
+]
+UNSETTLED = ["ΟΔΟΣ ΟΔΟΣ. Σ", "İstanbul I", "a\xa0b\u2003c", "a\u0301 e\u0301\u0301 \u0301", "\U0001f600x \U0001f600 𝐀", "a\u200bb c\u200b", "\ufeffa\x85b\x1cc", "⸺a ፧ ﬁ №"]
+
+
+@pytest.mark.parametrize("kept", [None, ["-", "'", "·", "’"]])
+def test_words_taken_from_the_text_are_those_of_the_expressions(spark, kept):
+    texts = [*SETTLED, *UNSETTLED]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], SCHEMA).coalesce(1)
+    split = {r["doc_id"]: r["text"] is not None for r in X._split(docs, kept).collect()}
+    assert [split[i] for i in range(len(texts))] == [True] * len(SETTLED) + [False] * len(UNSETTLED)
+    columns = ["lang", "term", "term_exact", "doc_id", "tf", "positions"]
+    words = X.document_terms(docs, kept).groupBy("lang", "term", "term_exact", "doc_id")
+    wanted = words.agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    rows = X.postings_by_row(docs, kept).cache()
+    assert sorted(map(str, rows.select(*columns).collect())) == sorted(map(str, wanted.select(*columns).collect()))
+    lengths = {r["doc_id"]: r["n_terms"] for r in X.document_lengths(docs).collect()}
+    assert {(r["doc_id"], r["n_terms"]) for r in rows.collect()} == {(r["doc_id"], lengths[r["doc_id"]]) for r in rows.collect()}
+    # In slices of a few words, the same.
+    sliced = X._split(docs, kept).mapInArrow(lambda batches: (part for b in batches for part in X.grouped_words(b, T.Spellings(kept), 8)), rows.schema)
+    assert sorted(map(str, sliced.collect())) == sorted(map(str, rows.collect()))
+
+
+def test_rows_are_put_in_order_by_keys_of_any_width():
+    rng = np.random.default_rng(5)
+    for most in (3, 1 << 20, 1 << 45):
+        keys = [rng.integers(0, most, 2_000) for _ in range(3)]
+        keys[0] %= 5
+        assert X._in_order(*keys).tolist() == np.lexsort(keys[::-1]).tolist()
+    assert X._in_order(np.empty(0, np.int64)).tolist() == []
