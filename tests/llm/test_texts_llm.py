@@ -79,6 +79,26 @@ def test_katz_probabilities_sum_to_one_and_score_texts(spark, docs, order):
         assert got[i].score == pytest.approx(sum(logp(run[max(0, k - order + 1) : k], run[k]) for k in range(len(run))))
 
 
+def test_katz_blocks_that_are_cut_ask_again_without_a_shuffle_to_prevent_it(spark, docs, monkeypatch):
+    rng = np.random.default_rng(7)
+    df = docs([" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 30) if x < 40) for _ in range(90)] + ODD)
+
+    def refused(self):
+        raise AssertionError("requests are shuffled to be told apart")
+
+    monkeypatch.setattr(type(df), "distinct", refused)
+    found = []
+    for rows in ("10000", "3"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        found.append({r.doc_id: r for r in katz.score(df, F.col("doc_id") % 5 == 0, block_bits=3).collect()})
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole, cut = found
+    assert whole.keys() == cut.keys() and len(whole) == 90 + len(ODD)
+    for name, row in whole.items():
+        assert (row.n_tokens, row.n_known, row.train_tokens) == (cut[name].n_tokens, cut[name].n_known, cut[name].train_tokens)
+        assert row.score == pytest.approx(cut[name].score) and row.base_score == pytest.approx(cut[name].base_score)
+
+
 def test_katz_of_nothing(spark, docs):
     assert katz.score(docs([]), F.lit(False)).collect() == []
 
